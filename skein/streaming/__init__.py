@@ -1,0 +1 @@
+"""skein.streaming"""
