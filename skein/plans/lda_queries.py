@@ -20,7 +20,7 @@ def lda_perplexity_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"lda_perplexity_init": lda_perplexity_init}
 
 TOKENS = r"""tokens as (
-  select doc_id as d, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), x -> x <> '')) as w from documents),
+  select d, w from (select doc_id as d, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from documents) where w <> ''),
 vocab as (select row_number() over (order by w) - 1 as v, w from (select distinct w from tokens)),
 dw as (select d, v, count(*) as f from tokens join vocab using (w) group by d, v)"""
 
