@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import lda_queries
+from skein.plans import lda_queries, model_queries
 
-MODULES = (lda_queries,)
+MODULES = (lda_queries, model_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
