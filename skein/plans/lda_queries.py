@@ -116,7 +116,7 @@ def corpus_stat(spark, sf_dir):
 
 
 def renumber_word(spark, sf_dir):
-    part = tables.table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("v"))
+    part = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("v"))
     n = part.count()
     return part.select("v", arrays.renumber(F.col("v"), n, 3).alias("w"), arrays.interval_of(F.col("v"), n, 3).alias("part"))
 
@@ -245,7 +245,7 @@ ORACLE = {
     "inverted_index": f"with {DW} select v, string_agg(d::varchar, ',' order by d) as docs from (select d, v, unnest(range(f)) from dw) group by v",
     "block_sizes": f"with {DW}, {DOCMAP}, {LPT} select a.p as d_part, b.p as w_part, count(*) as pairs, sum(f)::bigint as tokens from dw join docmap a using (d) join wordmap b using (v) group by 1, 2",
     "corpus_stat": f"with {DW} select v, sum(f)::bigint as tf from dw group by v",
-    "renumber_word": "with n as (select count(*) as n from part) select p_partkey - 1 as v, case when p_partkey - 1 < 3 * (n // 3) then ((p_partkey - 1) % 3) * (n // 3) + (p_partkey - 1) // 3 else p_partkey - 1 end as w, (p_partkey - 1) // ((n + 2) // 3) as part from part, n",
+    "renumber_word": "with n as (select count(*) as n from part) select p_partkey as v, case when p_partkey < 3 * (n // 3) then ((p_partkey) % 3) * (n // 3) + (p_partkey) // 3 else p_partkey end as w, (p_partkey) // ((n + 2) // 3) as part from part, n",
     "csr_offsets": f"with {DW}, s as (select v, sum(f)::bigint as n from dw group by v) select v, n, (sum(n) over (order by v) - n)::bigint as start from s",
     "theta": f"with {DW}, {Z} select ld.d, ck.k::int as k, round((coalesce(a.c,0)+{ALPHA}::double)/(ld.l+{ALPHA}::double*{K}), 9) as theta from ld cross join ck left join cdk a on a.d=ld.d and a.k=ck.k",
     "phi": f"with {DW}, {Z} select w.v, ck.k::int as k, round((coalesce(b.c,0)+{BETA}::double)/(ck.c+{BETA}::double*s.nv), 12) as phi from (select distinct v from dw) w cross join ck left join cwk b on b.v=w.v and b.k=ck.k cross join s",

@@ -324,7 +324,7 @@ def dtm_fit(spark, sf_dir):
     """Held-out perplexity of a short run over yearly order lines."""
     toks = time_corpus(spark, sf_dir)
     test = toks.filter("d % 10 = 0")
-    model = dtm.fit(toks.filter("d % 10 <> 0"), 1, dtm.Settings(topics=3, burn_in=2, samples=3), (test.filter("v % 2 = 0"), test.filter("v % 2 = 1")))
+    model = dtm.fit(toks.filter("d % 10 <> 0"), 1, dtm.Settings(topics=3, phi_rate=(0.01, 100.0, 0.51), burn_in=2, samples=3), (test.filter("v % 2 = 0"), test.filter("v % 2 = 1")))
     return spark.createDataFrame(list(enumerate(model.history)), "report int, perplexity double")
 
 
