@@ -18,24 +18,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points a node's larger neighbours, then its smaller ones, at the smallest; a
     component becomes a star in a number of rounds that grows with the logarithm of its size.
-    Minima are partial aggregates and the joins back are plain equi-joins, so a node with very
-    many neighbours is never gathered in one task. Each round is a written table.
+    Minima are partial aggregates, written before they are joined back: both sides of the join
+    are then exchanges of their own, and adaptive execution splits a node with very many
+    neighbours over tasks. Each round is a written table.
     """
     flat = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     now = written(flat, "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        drop(low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         after = written(small, "edges")
         mark_after = _mark(after)
-        drop(now)
-        drop(large)
+        for old in (now, large, low):
+            drop(old)
         now = after
         if mark_after == mark:
             break

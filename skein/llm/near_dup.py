@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(rare_pairs(groups, ranges), "pairs")
     often = groups.filter(F.size("often") > 0).select("gid", "n", F.explode("often").alias("tok"))
     often = written(often, "often")
-    pivots = often.groupBy("tok").agg(F.min(F.struct("n", "gid")).alias("lo"), F.max(F.struct("n", "gid")).alias("hi"))
+    # Aggregates are written before they are joined back, so that adaptive execution can split a hot key.
+    pivots = written(often.groupBy("tok").agg(F.min(F.struct("n", "gid")).alias("lo"), F.max(F.struct("n", "gid")).alias("hi")), "pivots")
     spokes = often.join(pivots, "tok").select("gid", "n", F.explode(F.array("lo", "hi")).alias("x"))
     spokes = spokes.filter((F.col("gid") != F.col("x.gid")) & (100 * F.least("n", "x.n") >= PERCENT * F.greatest("n", "x.n")))
     nearest = pairs.groupBy("gb").agg(F.min("ga").alias("ga")).select(F.col("ga").alias("u"), F.col("gb").alias("v"))
@@ -343,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What is left: candidates of different classes, group members in place of their leader.
     comp_of = lambda df, node, out: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
     crowd = comp_of(grouped.select("rep", "gid", "n"), "rep", "c")
-    spread = crowd.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    spread = written(crowd.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "spread")
     side = lambda df, g, lo, hi: comp_of(df, g, "_c").join(spread.select(F.col("gid").alias(g), F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), g, "left").withColumn(lo, F.coalesce("_lo", "_c")).withColumn(hi, F.coalesce("_hi", "_c")).drop("_c", "_lo", "_hi")
     open_pairs = side(side(pairs, "ga", "la", "ha"), "gb", "lb", "hb").filter(~((F.col("la") == F.col("ha")) & (F.col("lb") == F.col("hb")) & (F.col("la") == F.col("lb"))))
     member = lambda g, out, c: crowd.select(F.col("gid").alias(g), F.col("rep").alias(out), F.col("c").alias(c))
@@ -353,9 +354,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             df = comp_of(df, g, "_c").join(member(g, out, c), g, "left").withColumn(out, F.coalesce(out, g)).withColumn(c, F.coalesce(c, "_c")).drop("_c")
         return df.filter("cu <> cv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
-    stray = side(often, "gid", "lo", "hi")
-    mixed = stray.groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("tok")
-    stray = stray.join(mixed, "tok").select("tok", "gid", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c"))
+    stray = written(side(often, "gid", "lo", "hi"), "stray")
+    mixed = written(stray.groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("tok"), "mixed")
+    stray = written(stray.join(mixed, "tok").select("tok", "gid", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c")), "stray")
     other = stray.select("tok", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     crossing = stray.withColumnRenamed("gid", "ga").join(other, "tok").filter("ga < gb and (c is null or cb is null or c <> cb)")
     crossing = crossing.filter(100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb")).select("ga", "gb").distinct()
@@ -365,9 +366,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = linked(rest, bodies)
     final = components(comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
 
-    named = reps.join(final, reps["rep"] == final["node"]).select("sig", "comp", "least_id")
-    best = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_sig = reps.join(final, reps["rep"] == final["node"], "left").join(best, "comp", "left").select("sig", F.coalesce("component_id", "least_id").alias("component_id"))
+    named = written(reps.join(final, reps["rep"] == final["node"], "left").select("sig", "comp", "least_id"), "named")
+    best = written(named.filter("comp is not null").groupBy("comp").agg(F.min("least_id").alias("component_id")), "best")
+    of_sig = named.join(best, "comp", "left").select("sig", F.coalesce("component_id", "least_id").alias("component_id"))
     out = members.filter("n > 0").join(of_sig, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(members.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
