@@ -54,7 +54,7 @@ def read_links(spark: SparkSession, path: str, y: int, split: str) -> DataFrame:
     """(src, dst, y, split) of 'src n dst1 .. dstn' lines; n is checked against the line."""
     p = F.split(F.btrim("value"), " +")
     rows = spark.read.text(path).filter(F.btrim("value") != "").select(p.alias("p"))
-    rows = rows.select(F.get("p", F.lit(0)).cast("bigint").alias("src"), F.explode(F.slice("p", 3, F.get("p", F.lit(1)).cast("int"))).cast("bigint").alias("dst"))
+    rows = rows.select(F.get("p", F.lit(0)).cast("bigint").alias("src"), F.explode(F.transform(F.slice("p", 3, F.get("p", F.lit(1)).cast("int")), lambda x: x.cast("bigint"))).alias("dst"))
     return rows.withColumn("y", F.lit(y)).withColumn("split", F.lit(split))
 
 
