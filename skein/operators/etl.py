@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import kernels
+from skein.operators.ranks import row_numbers
 
 
 def render_lines(dw: DataFrame) -> DataFrame:
@@ -103,6 +104,6 @@ def months(start: str, end: str) -> Column:
 
 def k_folds(rows: DataFrame, key: str, k: int) -> DataFrame:
     """rows with fold 0..k-1: equal runs of a reproducible pseudo-random order."""
-    order = F.row_number().over(Window.orderBy((F.col(key) * 7919) % 1_000_003, key)).cast("bigint") - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.withColumn("fold", F.floor(order * k / n).cast("bigint"))
+    placed = row_numbers(rows.withColumn("_k", (F.col(key) * 7919) % 1_000_003), ["_k", key], "_n")
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_t")))
+    return placed.crossJoin(total).withColumn("fold", F.expr(f"(_n - 1) * {k} div _t")).drop("_k", "_n", "_t")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import running_sum
+
 
 def auc(scored: DataFrame) -> DataFrame:
     """One row (auc, positives, negatives) of (score, y), y in 0 / 1; ties share their mean rank.
 
-    Scores are counted first, so the ranking window runs over distinct scores only.
+    Scores are counted first; their ranks are running totals over ranges of the score.
     """
     by = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"))
-    upto = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = by.withColumn("mean_rank", upto - (F.col("n") - 1) / F.lit(2.0))
+    ranked = running_sum(by, ["score"], F.col("n"), "upto").withColumn("mean_rank", F.col("upto") - (F.col("n") - 1) / F.lit(2.0))
     sums = ranked.agg(F.sum(F.col("mean_rank") * F.col("pos")).alias("s"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     return sums.select(F.round((F.col("s") - p * (p + 1) / 2) / (p * q), 9).alias("auc"), F.col("p").alias("positives"), F.col("q").alias("negatives"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import arrays
-from skein.operators import counts, etl, lda, metrics
+from skein.operators import counts, etl, lda, metrics, ranks
 from skein.sources import tables
 
 K, ALPHA, BETA = 8, 0.5, 0.01
@@ -123,7 +123,7 @@ def renumber_word(spark, sf_dir):
 
 def csr_offsets(spark, sf_dir):
     sizes = orders_corpus(spark, sf_dir).groupBy("v").agg(F.sum("f").alias("n"))
-    return sizes.select("v", "n", (F.sum("n").over(Window.orderBy("v")) - F.col("n")).alias("start"))
+    return ranks.running_sum(sizes, ["v"], F.col("n"), "upto").select("v", "n", (F.col("upto") - F.col("n")).alias("start"))
 
 
 def theta(spark, sf_dir):
@@ -177,6 +177,14 @@ def logsumexp(spark, sf_dir):
     return e.select("vec_id", F.round(arrays.logsumexp(F.transform("embedding", lambda x: x.cast("double"))), 9).alias("lse"))
 
 
+def log_likelihood(spark, sf_dir):
+    """Sum over tokens of log sum_k theta phi under the fixed assignment."""
+    rows = sampler_rows(spark, sf_dir)
+    size = rows.groupBy("d").agg(F.sum("f").alias("l"))
+    p = arrays.total(F.col("p")) / (F.col("l") + F.lit(ALPHA * K))
+    return rows.join(size, "d").agg(F.round(F.sum(F.col("f") * F.log(p)), 4).alias("ll"), F.sum("f").alias("n"))
+
+
 def softmax(spark, sf_dir):
     e = tables.table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.posexplode(arrays.softmax(F.transform("embedding", lambda x: x.cast("double")))).alias("i", "p")).withColumn("p", F.round("p", 9))
@@ -191,7 +199,7 @@ def lda_fit(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     lda_perplexity_init, lda_perplexity_orders, tokens, vocab_tf, doc_length, doc_word_counts, corpus_totals, cdk, cwk, ck_marginal, avg_kd,
     occurrences, libsvm_lines, libsvm_parse, docmap, docs_per_part, wordmap_lpt, inverted_index, block_sizes, corpus_stat, renumber_word,
-    csr_offsets, theta, phi, topic_topk, sampler_probs, topic_cdf, gibbs_sweep_fixed_u, logsumexp, softmax, lda_fit,
+    csr_offsets, theta, phi, topic_topk, sampler_probs, topic_cdf, gibbs_sweep_fixed_u, log_likelihood, logsumexp, softmax, lda_fit,
 )}
 
 TOKENS = r"""tokens as (
@@ -257,6 +265,7 @@ a as (select d, v, any_value(f) as f, list(cdf order by k) as cdf, max(cdf) as t
 o as (select d, v, cdf, tot, unnest(range(1, f + 1)) as n from a),
 t as (select d, v, n, len(list_filter(cdf, lambda x: x < tot * (((d*7919 + v*104729 + n*1299709 + 17) % 1000003)/1000003.0::double))) as k from o)
 select k, count(*) as c, sum((d*31 + v*17 + n) % 1009)::bigint as checksum from t group by k""",
+    "log_likelihood": f"with {DW}, {Z}, {PROBS}, w as (select d, v, any_value(f) as f, sum(p) as p from p group by d, v) select round(sum(f * ln(p / (l + {ALPHA}::double * {K}))), 4) as ll, sum(f)::bigint as n from w join ld using (d)",
     "logsumexp": "with e as (select vec_id, unnest(embedding)::double as x from embeddings), m as (select vec_id, max(x) as m from e group by vec_id) select vec_id, round(any_value(m) + ln(sum(exp(x - m))), 9) as lse from e join m using (vec_id) group by vec_id",
     "softmax": "with e as (select vec_id, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding)::double as x from embeddings), m as (select vec_id, max(x) as m from e group by vec_id) select vec_id, i::int as i, round(exp(x - m) / sum(exp(x - m)) over (partition by vec_id), 9) as p from e join m using (vec_id)",
 }

@@ -111,3 +111,34 @@ def write_topics(top: DataFrame, path: str) -> None:
     """Write (k, rank, w) as one line of words for each topic."""
     words = F.transform(F.sort_array(F.collect_list(F.struct("rank", "w"))), lambda x: x["w"])
     top.groupBy("k").agg(F.concat_ws(" ", words).alias("value")).orderBy("k").select("value").write.text(path)
+
+
+def write_time_sliced(tokens: DataFrame, path: str) -> None:
+    """Write (split, ep, d, v, f) as Parquet by split and epoch, so that a reader opens only what it asks for."""
+    tokens.write.partitionBy("split", "ep").parquet(path)
+
+
+def read_time_sliced(spark: SparkSession, path: str, split: str, epochs: int | None = None, most: int | None = None) -> DataFrame:
+    """(ep, d, v, f) of a split; the first epochs only, and at most so many documents of each, if asked for."""
+    rows = spark.read.schema("split string, ep bigint, d bigint, v bigint, f bigint").parquet(path).filter(F.col("split") == split).select("ep", "d", "v", "f")
+    rows = rows if epochs is None else rows.filter(F.col("ep") < epochs)
+    return rows if most is None else rows.join(etl.epoch_cap(rows.select("ep", "d").distinct(), most), ["ep", "d"], "left_semi")
+
+
+def show_topics(top: DataFrame, path: str) -> None:
+    """Write (ep, k, rank, w, p) as 'Topic k: (word: p) ...' lines, one folder for each epoch."""
+    cell = lambda x: F.format_string("(%s: %.6f)", x["w"], x["p"])
+    words = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("rank", "w", "p"))), cell))
+    lines = top.groupBy("ep", "k").agg(words.alias("x")).select(F.col("ep").cast("string").alias("ep"), F.concat(F.lit("Topic "), F.col("k").cast("string"), F.lit(": "), F.col("x")).alias("value"))
+    lines.write.partitionBy("ep").text(path)
+
+
+def write_parameters(phi: DataFrame, alpha: DataFrame, path: str) -> None:
+    """Write word logits (ep, v, phi) by epoch and epoch means (ep, alpha) under a folder."""
+    phi.write.partitionBy("ep").parquet(f"{path}/phi")
+    alpha.write.parquet(f"{path}/alpha")
+
+
+def split_input(spark: SparkSession, source: str, path: str, lines: int) -> None:
+    """Deal text lines over gzip files of at most so many lines."""
+    spark.read.text(source).write.option("maxRecordsPerFile", lines).option("compression", "gzip").text(path)

@@ -1 +1 @@
-"""skein.streaming"""
+"""Reserved: corpora here are batch tables, and no operator of the library is a streaming one."""

@@ -120,3 +120,27 @@ def test_files(spark, tmp_path):
     assert files.read_file_list(spark, str(tmp_path / "f.list")) == ["x.gz", "y.gz"]
     files.write_topics(spark.createDataFrame([(0, 2, "b"), (0, 1, "a"), (1, 1, "c")], "k int, rank int, w string"), str(tmp_path / "topics"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "topics")).collect()) == ["a b", "c"]
+
+
+def test_time_sliced_files(spark, tmp_path):
+    rows = spark.createDataFrame([("tr", e, d, 1, 2) for e in range(3) for d in range(4)] + [("te", 0, 9, 1, 1)], "split string, ep bigint, d bigint, v bigint, f bigint")
+    files.write_time_sliced(rows, str(tmp_path / "t"))
+    assert files.read_time_sliced(spark, str(tmp_path / "t"), "tr", 2, 3).count() == 6
+    assert files.read_time_sliced(spark, str(tmp_path / "t"), "te").first()["d"] == 9
+    files.show_topics(spark.createDataFrame([(0, 1, 1, "a", 0.5), (0, 1, 2, "b", 0.25)], "ep string, k int, rank int, w string, p double"), str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s")).first()["value"] == "Topic 1: (a: 0.500000) (b: 0.250000)"
+    files.split_input(spark, str(tmp_path / "s"), str(tmp_path / "x"), 1)
+    assert spark.read.text(str(tmp_path / "x")).count() == 1
+    files.write_parameters(spark.createDataFrame([(0, 1, [0.5])], "ep int, v int, phi array<double>"), spark.createDataFrame([(0, [0.0])], "ep int, alpha array<double>"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p" / "phi")).count() == 1
+
+
+def test_running_sum(spark):
+    from skein.operators import ranks
+
+    df = spark.range(100).select((F.col("id") * 37 % 101).alias("k"), F.col("id").alias("x"))
+    got = ranks.running_sum(df, ["k"], F.col("x"), "s").orderBy("k").collect()
+    total = 0
+    for r in got:
+        total += r["x"]
+        assert r["s"] == total
