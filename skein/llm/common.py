@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,16 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are over.
+
+    Spark removes them when the driver's objects for them are collected, which in a long
+    driver program may be late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The column with null read as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -13,7 +13,8 @@ times the mean number of shingles of them, whatever the corpus: that bounds thei
    one of them are compared. What links is a class already; pairs inside it need no look.
 4. Candidates that are left, of different classes, are expanded to members and compared.
 
-Every comparison is exact, over whole sets. No step gathers the sets of a frequent shingle,
+A comparison first bounds the difference of two sets by their parity bitmaps, a few dozen
+bytes each; pairs that this cannot rule out are decided exactly, over whole sets. No step gathers the sets of a frequent shingle,
 a group or a class in one task, and none emits the pairs inside one.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textblock
-from skein.llm.common import drop, written
+from skein.llm.common import drop, release, written
 from skein.llm.components import components
 
 SHINGLE = 5
@@ -38,7 +39,7 @@ HOT, HOT_SHARE = 50, 5000
 LOW_SHARE = 0.36
 _LOW = np.uint64(int(LOW_SHARE * (1 << 48)))
 TOKENS_PER_RANGE = 400_000
-MIN_RANGES = 64
+MIN_RANGE_BITS = 6
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -84,8 +85,26 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(text, np.arange(len(count) + 1))
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Parity of the set's hashes by their lowest bits, over at least two bits for each of them."""
+    size = max(64, 1 << int(2 * len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits((np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int) -> bool:
+    """False only where two sets of n shingles together cannot be similar enough.
+
+    Bits in which parities differ are at most the shingles in which the sets differ, and those
+    are at most (100 - PERCENT) / (100 + PERCENT) of n. The larger bitmap is folded.
+    """
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (100 + PERCENT) * int(np.bitwise_count(x ^ y).sum()) <= (100 - PERCENT) * n
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, n, sig, low): size, digest and lowest tokens of each row's set.
+    """(uid, doc_id, n, sig, low, bits): size, digest, lowest tokens and bitmap of each row's set.
 
     low holds the tokens below the LOW_SHARE mark, and at least as many as a prefix needs.
     """
@@ -96,74 +115,89 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 grams, first = shingle_sets(part.column(2))
                 n = np.diff(first)
                 need = np.where(n > 0, prefix_size(n), 0)
-                sig, low = [], []
+                sig, low, maps = [], [], []
                 for i in range(len(n)):
                     own = grams[first[i] : first[i + 1]]
                     sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                    maps.append(bitmap(own))
                     tokens = own >> np.uint64(16)
                     low.append(pack(tokens[: max(int(np.searchsorted(tokens, _LOW)), int(need[i]))]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["uid", "doc_id", "n", "sig", "low"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), pa.array(maps, pa.binary())], ["uid", "doc_id", "n", "sig", "low", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid bigint, doc_id {kind}, n bigint, sig binary, low binary")
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid bigint, doc_id {kind}, n bigint, sig binary, low binary, bits binary")
+
+
+def range_bits(total: int) -> int:
+    """Bits of the hash that name a range, so that a range has about TOKENS_PER_RANGE of the tokens."""
+    return max(MIN_RANGE_BITS, (-(-total // TOKENS_PER_RANGE) - 1).bit_length())
+
+
+def coarse(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits + 32 bits of tokens: a range and 32 bits within it.
+
+    Candidates are found by these; two tokens that agree in them count as one, which adds
+    candidates and loses none.
+    """
+    return tokens >> np.uint64(max(0, 16 - bits))
 
 
-def _ranges(total: int) -> int:
-    return max(MIN_RANGES, -(-total // TOKENS_PER_RANGE))
+def _split(values: np.ndarray, bits: int):
+    """(range, slice) of ascending coarse tokens."""
+    edges = np.searchsorted(values, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(min(32, 48 - bits)))
+    for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield r, slice(int(edges[r]), int(edges[r + 1]))
 
 
-def _split(tokens: np.ndarray, ranges: int):
-    """(range, slice) of ascending tokens by equal parts of the hash range."""
-    edges = np.searchsorted(tokens, (np.arange(1, ranges, dtype=np.float64) * ((1 << 48) / ranges)).astype(np.uint64))
-    edges = np.concatenate([[0], edges, [len(tokens)]])
-    for r in range(ranges):
-        if edges[r] < edges[r + 1]:
-            yield r, slice(int(edges[r]), int(edges[r + 1]))
+def _within(values: np.ndarray) -> bytes:
+    return values.astype("<u4").tobytes()
 
 
-def hot_tokens(sets: DataFrame, n_sets: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, counts) of the tokens in the low parts of more than max(HOT, n/HOT_SHARE) sets.
+def hot_tokens(sets: DataFrame, n_sets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coarse tokens, counts) of those in the low parts of more than max(HOT, n/HOT_SHARE) sets.
 
     Counts are combined block by block before they are sent; a range's counts meet in one task
     and only those above the bound go on.
     """
     bound = max(HOT, n_sets // HOT_SHARE)
 
+    def flush(held):
+        values, counts = np.unique(coarse(np.concatenate(held), bits), return_counts=True)
+        rows = []
+        for r, s in _split(values, bits):
+            once = counts[s] == 1
+            rows.append((r, _within(values[s][once]), b""))
+            if not once.all():
+                rows.append((r, _within(values[s][~once]), counts[s][~once].astype("<u4").tobytes()))
+        a, b, c = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["r", "t", "c"])
+
     def partial(batches):
         held, size = [], 0
-
-        def flush():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            for r, s in _split(tokens, ranges):
-                yield r, pack(tokens[s]), counts[s].astype(np.uint32).tobytes()
-
-        def out(rows):
-            a, b, c = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["r", "t", "c"])
-
         for batch in batches:
             for body in batch.column(0):
                 held.append(unpack(body.as_py()))
                 size += len(held[-1])
                 if size > 4_000_000:
-                    yield out(list(flush()))
+                    yield flush(held)
                     held, size = [], 0
         if size:
-            yield out(list(flush()))
+            yield flush(held)
 
     def total(batches):
         by: dict[int, list] = {}
         for batch in batches:
             for r, t, c in zip(batch.column(0), batch.column(1), batch.column(2)):
-                by.setdefault(r.as_py(), []).append((unpack(t.as_py()), np.frombuffer(c.as_py(), np.uint32)))
-        for parts in by.values():
-            tokens = np.concatenate([t for t, _ in parts])
-            order = np.argsort(tokens)
-            tokens, counts = tokens[order], np.concatenate([c for _, c in parts])[order].astype(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                values, counts = np.frombuffer(t.as_py(), "<u4"), np.frombuffer(c.as_py(), "<u4")
+                by.setdefault(r.as_py(), []).append((values, counts if len(counts) else np.ones(len(values), np.uint32)))
+        for r, parts in by.items():
+            values = np.concatenate([t for t, _ in parts])
+            order = np.argsort(values)
+            values, counts = values[order], np.concatenate([c for _, c in parts])[order].astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
             sums = np.add.reduceat(counts, at)
             hot = sums > bound
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[at][hot].astype(np.int64)), pa.array(sums[hot])], ["tok", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[at][hot].astype(np.int64) + (r << min(32, 48 - bits))), pa.array(sums[hot])], ["tok", "df"])
 
     found = sets.select("low").mapInArrow(partial, "r int, t binary, c binary").repartition("r").mapInArrow(total, "tok bigint, df bigint").toArrow()
     tokens, counts = found.column("tok").to_numpy().astype(np.uint64), found.column("df").to_numpy()
@@ -171,14 +205,15 @@ def hot_tokens(sets: DataFrame, n_sets: int, ranges: int) -> tuple[np.ndarray, n
     return tokens[order], counts[order]
 
 
-def prefix_of(tokens: np.ndarray, n: int, hot: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_of(tokens: np.ndarray, n: int, hot: np.ndarray, df: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(prefix, is hot) of a set's low tokens: rare ones by hash, then frequent by count, then the rest."""
     p = int(prefix_size(np.int64(n)))
     inside = int(np.searchsorted(tokens, _LOW))
-    at = np.searchsorted(hot, tokens)
+    part = coarse(tokens, bits)
+    at = np.searchsorted(hot, part)
     known = np.zeros(len(tokens), bool)
     if len(hot):
-        known = hot[np.minimum(at, len(hot) - 1)] == tokens
+        known = hot[np.minimum(at, len(hot) - 1)] == part
     early = known[:inside]
     rare = tokens[:inside][~early]
     if len(rare) >= p:
@@ -194,20 +229,20 @@ def with_prefixes(sets: DataFrame, shared, keep: bool) -> DataFrame:
     """(rep, n, psig, rare, often) of sets (rep, n, low); without keep the last two are empty."""
 
     def run(batches):
-        hot, df = shared.value
+        (hot, df), bits = shared.value
         for batch in batches:
             psig, rare, often = [], [], []
             for n, low in zip(batch.column(1), batch.column(2)):
-                tokens, flag = prefix_of(unpack(low.as_py()), n.as_py(), hot, df)
+                tokens, flag = prefix_of(unpack(low.as_py()), n.as_py(), hot, df, bits)
                 psig.append(hashlib.blake2b(pack(tokens), digest_size=16).digest())
                 rare.append(pack(np.sort(tokens[~flag])) if keep else b"")
-                often.append(tokens[flag].astype(np.int64) if keep else [])
+                often.append(np.unique(coarse(tokens[flag], bits)).astype(np.int64) if keep else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(psig, pa.binary()), pa.array(rare, pa.binary()), pa.array(often, pa.list_(pa.int64()))], ["rep", "n", "psig", "rare", "often"])
 
     return sets.select("rep", "n", "low").mapInArrow(run, "rep bigint, n bigint, psig binary, rare binary, often array<bigint>")
 
 
-def rare_pairs(groups: DataFrame, ranges: int) -> DataFrame:
+def rare_pairs(groups: DataFrame, bits: int) -> DataFrame:
     """Distinct (ga, gb), ga < gb: groups that share a rare prefix token and may be similar by size.
 
     Tokens of a block of groups are sent by hash range, sorted, with the block's groups once.
@@ -220,14 +255,14 @@ def rare_pairs(groups: DataFrame, ranges: int) -> DataFrame:
                 part = batch.slice(lo, 4000)
                 tokens = [unpack(b.as_py()) for b in part.column(2)]
                 owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]).astype(np.uint16)
-                tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+                tokens = coarse(np.concatenate(tokens) if tokens else np.zeros(0, np.uint64), bits)
                 order = np.argsort(tokens)
                 tokens, owner = tokens[order], owner[order]
                 gid, n = part.column(0).to_numpy(), part.column(1).to_numpy()
                 rows = []
-                for r, s in _split(tokens, ranges):
+                for r, s in _split(tokens, bits):
                     used, local = np.unique(owner[s], return_inverse=True)
-                    rows.append((r, pack(tokens[s]), local.astype(np.uint16).tobytes(), gid[used].astype(np.int64).tobytes(), n[used].astype(np.int32).tobytes()))
+                    rows.append((r, _within(tokens[s]), local.astype(np.uint16).tobytes(), gid[used].astype(np.int64).tobytes(), n[used].astype(np.int32).tobytes()))
                 if rows:
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["r", "t", "o", "g", "n"])
@@ -238,7 +273,7 @@ def rare_pairs(groups: DataFrame, ranges: int) -> DataFrame:
             for row in zip(*batch.columns):
                 r, t, o, g, n = (x.as_py() for x in row)
                 own = np.frombuffer(o, np.uint16)
-                by.setdefault(r, []).append((unpack(t), np.frombuffer(g, np.int64)[own], np.frombuffer(n, np.int32)[own]))
+                by.setdefault(r, []).append((np.frombuffer(t, "<u4"), np.frombuffer(g, np.int64)[own], np.frombuffer(n, np.int32)[own]))
         for r in list(by):
             tokens, gid, n = (np.concatenate(x) for x in zip(*by.pop(r)))
             order = np.lexsort((gid, tokens))
@@ -279,6 +314,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "rep bigint, body binary")
 
 
+def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose bitmaps and sizes allow a link, by reps (rep, n, bits)."""
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(a.as_py(), b.as_py(), n.as_py()) for a, b, n in zip(batch.column(2), batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    left = reps.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("a"))
+    right = reps.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("b"))
+    rows = pairs.join(left, "u").join(right, "v").filter(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
+    return rows.select("u", "v", "a", "b", (F.col("nu") + F.col("nv")).alias("n")).mapInArrow(run, "u bigint, v bigint")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar enough."""
 
@@ -307,24 +356,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = written(set_rows(docs), "sets")
     members = written(rows.select("uid", "doc_id", "n", "sig"), "members")
-    held = F.struct("uid", "doc_id", "n", "low")
+    held = F.struct("uid", "doc_id", "n", "low", "bits")
     sets = rows.filter("n > 0").groupBy("sig").agg(F.min_by(held, "uid").alias("x"), F.min("doc_id").alias("least_id"))
-    sets = written(sets.select(F.col("x.uid").alias("rep"), F.col("x.doc_id").alias("rep_doc"), F.col("x.n").alias("n"), F.col("x.low").alias("low"), "sig", "least_id"), "distinct")
+    sets = written(sets.select(F.col("x.uid").alias("rep"), F.col("x.doc_id").alias("rep_doc"), F.col("x.n").alias("n"), F.col("x.low").alias("low"), F.col("x.bits").alias("bits"), "sig", "least_id"), "distinct")
     drop(rows)
+    release(docs.sparkSession)
     size = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("low")), F.lit(0)).alias("b")).first()
-    ranges = _ranges(size["b"] // 6)
-    shared = docs.sparkSession.sparkContext.broadcast(hot_tokens(sets, size["n"], ranges))
+    bits = range_bits(size["b"] // 6)
+    shared = docs.sparkSession.sparkContext.broadcast((hot_tokens(sets, size["n"], bits), bits))
 
     held = F.struct("rep", "rare", "often")
     groups = with_prefixes(sets, shared, True).groupBy("psig", "n").agg(F.min_by(held, "rep").alias("x"), F.count(F.lit(1)).alias("size"))
     groups = written(groups.select(F.col("x.rep").alias("gid"), "psig", "n", F.col("x.rare").alias("rare"), F.col("x.often").alias("often"), "size"), "groups")
     several = groups.filter("size > 1").select("psig", "n", "gid")
     grouped = written(with_prefixes(sets, shared, False).select("rep", "n", "psig").join(several, ["psig", "n"]).select("rep", "gid", "n"), "grouped")
-    reps = written(sets.select("rep", "rep_doc", "sig", "least_id"), "reps")
+    reps = written(sets.select("rep", "rep_doc", "n", "sig", "bits", "least_id"), "reps")
     drop(sets)
+    release(docs.sparkSession)
 
     # The candidates: pairs of groups, rows of frequent tokens, members of groups.
-    pairs = written(rare_pairs(groups, ranges), "pairs")
+    pairs = written(rare_pairs(groups, bits), "pairs")
     often = groups.filter(F.size("often") > 0).select("gid", "n", F.explode("often").alias("tok"))
     often = written(often, "often")
     # Aggregates are written before they are joined back, so that adaptive execution can split a hot key.
@@ -335,9 +386,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = nearest.union(spokes.select(F.least("gid", "x.gid").alias("u"), F.greatest("gid", "x.gid").alias("v")))
     first = written(first.union(grouped.filter("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v"))).distinct(), "first")
 
-    named = pairs.select(F.explode(F.array("ga", "gb")).alias("gid")).union(often.select("gid")).union(first.select(F.explode(F.array("u", "v")).alias("gid"))).distinct()
-    all_of = named.union(grouped.join(named, "gid").select("rep")).distinct().withColumnRenamed("gid", "rep")
-    bodies = written(full_sets(docs, reps.join(all_of, "rep").select("rep", "rep_doc", "sig")), "bodies")
+    drop(groups)
+    release(docs.sparkSession)
+    first = written(plausible(first, reps), "plausible")
+    leaders = plausible(pairs.select(F.col("ga").alias("u"), F.col("gb").alias("v")), reps)
+    ends = lambda df: df.select(F.explode(F.array("u", "v")).alias("rep"))
+    wanted = written(reps.select("rep", "rep_doc", "sig").join(ends(first).union(ends(leaders)).distinct(), "rep"), "wanted")
+    bodies = written(full_sets(docs, wanted), "bodies")
     links = written(linked(first, bodies), "links")
     comps = written(components(links), "comps")
 
@@ -362,8 +417,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossing = crossing.filter(100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb")).select("ga", "gb").distinct()
     split = crowd.join(spread.filter("lo <> hi").select("gid"), "gid")
     within = split.alias("a").join(split.alias("b"), "gid").filter("a.rep < b.rep and a.c <> b.c").select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    rest = expanded(open_pairs.select("ga", "gb").union(crossing)).union(within).distinct()
-    more = linked(rest, bodies)
+    rest = written(plausible(expanded(open_pairs.select("ga", "gb").union(crossing)).union(within).distinct(), reps), "rest")
+    missing = ends(rest).distinct().join(wanted.select("rep"), "rep", "left_anti")
+    missing = written(reps.select("rep", "rep_doc", "sig").join(missing, "rep"), "missing")
+    more = linked(rest, bodies.union(full_sets(docs, missing)) if missing.head(1) else bodies)
     final = components(comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
 
     named = written(reps.join(final, reps["rep"] == final["node"], "left").select("sig", "comp", "least_id"), "named")

@@ -108,3 +108,35 @@ def ngrams(hashes: np.ndarray, first_word: np.ndarray, n: int) -> tuple[np.ndarr
     text = np.repeat(np.arange(len(first_word) - 1), np.diff(first_word))
     whole = text[:m] == text[n - 1 :]
     return mix(out[whole]), text[:m][whole]
+
+
+def pack_ascending(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as 32-bit differences in byte planes; larger ones follow whole."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype(np.uint64)
+    large = steps >= 0xFFFFFFFF
+    small = np.where(large, np.uint64(0xFFFFFFFF), steps).astype("<u4")
+    planes = np.ascontiguousarray(small.view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + planes.tobytes() + steps[large].astype("<u8").tobytes()
+
+
+def unpack_ascending(body: bytes) -> np.ndarray:
+    """The values of pack_ascending()."""
+    n = int.from_bytes(body[:4], "little")
+    planes = np.frombuffer(body, np.uint8, 4 * n, 4).reshape(4, n)
+    steps = np.ascontiguousarray(planes.T).reshape(-1).view("<u4").astype(np.uint64)
+    steps[steps == 0xFFFFFFFF] = np.frombuffer(body, "<u8", offset=4 + 4 * n)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes; those from 255 on follow as 64-bit numbers."""
+    large = counts >= 255
+    return len(counts).to_bytes(4, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
+
+
+def unpack_counts(body: bytes) -> np.ndarray:
+    """The counts of pack_counts()."""
+    n = int.from_bytes(body[:4], "little")
+    out = np.frombuffer(body, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(body, "<u8", offset=4 + n)
+    return out
