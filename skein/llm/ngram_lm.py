@@ -2,7 +2,7 @@
 
 Every text's n-grams (orders 1 to ORDER) are exploded and dealt by hash over partitions of a
 count table that is gathered from the same corpus. Rows of the exchange are blocks: the
-distinct n-grams of a few hundred texts in one hash range, sorted, with their counts. In its
+distinct n-grams of a few thousand texts in one hash range, sorted, with their counts. In its
 range an n-gram's counts over all blocks are summed (that is the count table's partition) and
 joined to the blocks that asked, which get the sums back in their own order. Each block then
 has the corpus counts of all its n-grams, and the scores are summed per document.
@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textblock
-from skein.llm.common import written
+from skein.llm.common import release, written
 
 ORDER = 3
 BACKOFF = 0.4
 #: N-grams of two words and more that the corpus has less often are taken as unseen.
 MIN_COUNT = 2
-ROWS_PER_BLOCK = 1000
+ROWS_PER_BLOCK = 4000
 NGRAMS_PER_RANGE = 6_000_000
-MIN_RANGES = 64
+MIN_RANGE_BITS = 6
+#: Bits of the hash, beyond those that name the range, by which n-grams are told apart.
+BITS_IN_RANGE = 40
 
 
 def _counts_of(column: pa.Array, order: int):
@@ -49,18 +51,18 @@ def _rows(parts):
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())], ["r", "block", "o", "g", "c"])
 
 
-def requests(blocked: DataFrame, order: int, ranges: int) -> DataFrame:
+def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
     """(r, block, o, g, c): a block's distinct n-grams of order o in hash range r, and their counts."""
 
     def flush(block, held):
         _, grams = _counts_of(pa.concat_arrays(held), order)
         for o, g in enumerate(grams, 1):
             values, counts = np.unique(g, return_counts=True)
-            edges = np.searchsorted(values >> np.uint64(32), np.arange(ranges + 1, dtype=np.float64) * ((1 << 32) / ranges))
-            for r in range(ranges):
+            edges = np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            inside = (values << np.uint64(bits)) >> np.uint64(64 - BITS_IN_RANGE)
+            for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
                 lo, hi = int(edges[r]), int(edges[r + 1])
-                if lo < hi:
-                    yield r, block, o, pack(values[lo:hi]), counts[lo:hi].astype(np.uint32).tobytes()
+                yield r, block, o, textblock.pack_ascending(inside[lo:hi]), textblock.pack_counts(counts[lo:hi])
 
     def run(batches):
         block, held = None, []
@@ -83,19 +85,6 @@ def requests(blocked: DataFrame, order: int, ranges: int) -> DataFrame:
     return blocked.select("block", "text").mapInArrow(run, "r int, block bigint, o int, g binary, c binary")
 
 
-def pack(values: np.ndarray) -> bytes:
-    """The leading 48 bits of ascending hashes, six bytes each."""
-    return np.ascontiguousarray((values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpack(body: bytes) -> np.ndarray:
-    """The values of pack()."""
-    raw = np.frombuffer(body, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.reshape(-1).view("<u8")
-
-
 def answers(asked: DataFrame) -> DataFrame:
     """(block, r, o, c, n): the corpus counts of each request's n-grams, in its order.
 
@@ -110,16 +99,17 @@ def answers(asked: DataFrame) -> DataFrame:
                 by.setdefault((r, o), []).append((block, g, c))
         for r, o in sorted(by):
             parts = by.pop((r, o))
-            grams = np.concatenate([unpack(g) for _, g, _ in parts])
-            counts = np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in parts]).astype(np.int64)
+            each = [textblock.unpack_ascending(g) for _, g, _ in parts]
+            grams = np.concatenate(each)
+            counts = np.concatenate([textblock.unpack_counts(c) for _, _, c in parts])
             order = np.argsort(grams)
             at = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1]]))
             sums = np.add.reduceat(counts[order], at)
             back = np.empty(len(grams), np.int64)
             back[order] = np.repeat(sums, np.diff(np.concatenate([at, [len(grams)]])))
-            edge = np.cumsum([0] + [len(c) // 4 for _, _, c in parts])
+            edge = np.cumsum([0] + [len(g) for g in each])
             blocks = [b for b, _, _ in parts]
-            bodies = [back[lo:hi].astype("<u8").tobytes() for lo, hi in zip(edge, edge[1:])]
+            bodies = [textblock.pack_counts(back[lo:hi]) for lo, hi in zip(edge, edge[1:])]
             words = [0] * len(parts)
             if o == 1:
                 blocks, bodies, words = [*blocks, -1], [*bodies, b""], [*words, int(counts.sum())]
@@ -172,8 +162,9 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     blocked = docs.select(_block_column().alias("block"), "doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    ranges = max(MIN_RANGES, int(size * order // 8 // NGRAMS_PER_RANGE))
-    found = written(answers(requests(blocked, order, ranges)), "counts")
+    bits = max(MIN_RANGE_BITS, int(size * order // 8 // NGRAMS_PER_RANGE).bit_length())
+    found = written(answers(requests(blocked, order, bits)), "counts")
+    release(docs.sparkSession)
     total = found.filter("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -181,7 +172,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         parts: dict[int, dict[int, bytes]] = {}
         for r, o, c in zip(counts.column("r").to_pylist(), counts.column("o").to_pylist(), counts.column("c").to_pylist()):
             parts.setdefault(o, {})[r] = c
-        sums = [np.frombuffer(b"".join(parts.get(o, {})[r] for r in sorted(parts.get(o, {}))), np.int64) for o in range(1, order + 1)]
+        sums = [np.concatenate([np.zeros(0, np.int64), *(textblock.unpack_counts(parts[o][r]) for r in sorted(parts.get(o, {})))]) for o in range(1, order + 1)]
         column = texts.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         words, score = score_block(column, sums, total, order)
