@@ -36,7 +36,7 @@ SHINGLE = 5
 PERCENT = 75
 HOT, HOT_SHARE = 50, 5000
 #: Share of the hash range whose shingles are kept for prefixes; prefixes take a quarter of a set.
-LOW_SHARE = 0.36
+LOW_SHARE = 0.5
 _LOW = np.uint64(int(LOW_SHARE * (1 << 48)))
 TOKENS_PER_RANGE = 400_000
 MIN_RANGE_BITS = 6
@@ -376,11 +376,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # The candidates: pairs of groups, rows of frequent tokens, members of groups.
     pairs = written(rare_pairs(groups, bits), "pairs")
-    often = groups.filter(F.size("often") > 0).select("gid", "n", F.explode("often").alias("tok"))
+    often = groups.filter(F.size("often") > 0).select("gid", "n", (F.size("often") / F.col("n")).alias("share"), F.explode("often").alias("tok"))
     often = written(often, "often")
     # Aggregates are written before they are joined back, so that adaptive execution can split a hot key.
-    pivots = written(often.groupBy("tok").agg(F.min(F.struct("n", "gid")).alias("lo"), F.max(F.struct("n", "gid")).alias("hi")), "pivots")
-    spokes = often.join(pivots, "tok").select("gid", "n", F.explode(F.array("lo", "hi")).alias("x"))
+    # The set with the largest share of frequent shingles is nearest to what the others are copies of.
+    centre = F.max(F.struct("share", (-F.col("gid")).alias("neg"), "n", "gid"))
+    pivots = written(often.groupBy("tok").agg(centre.alias("x")), "pivots")
+    spokes = often.select("gid", "n", "tok").join(pivots, "tok").select("gid", "n", "x")
     spokes = spokes.filter((F.col("gid") != F.col("x.gid")) & (100 * F.least("n", "x.n") >= PERCENT * F.greatest("n", "x.n")))
     nearest = pairs.groupBy("gb").agg(F.min("ga").alias("ga")).select(F.col("ga").alias("u"), F.col("gb").alias("v"))
     first = nearest.union(spokes.select(F.least("gid", "x.gid").alias("u"), F.greatest("gid", "x.gid").alias("v")))
