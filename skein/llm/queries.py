@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dup, ngram_lm, pii, quality_model, quality_rules
+from skein.llm import bpe, exact_dedup, html_text, language_id, mixing, near_dup, ngram_lm, oracle, pii, quality_model, quality_rules
 from skein.llm.common import read
 
 
@@ -57,7 +57,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of all documents under the corpus's own counts."""
-    return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
+    out = ngram_lm.score_documents(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round("log10_per_word", 8).alias("log10_per_word"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,32 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
-OP3 = r"""with n as (
-  select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
-k as (select doc_id, norm, sha256(norm) as text_sha256, length(t) as len from n),
-r as (select doc_id, text_sha256, norm,
-  row_number() over (partition by norm order by len desc, doc_id nulls last) as rn,
-  first_value(doc_id) over (partition by norm order by len desc, doc_id nulls last) as keep_id,
-  count(*) over (partition by norm) as group_size from k)
-select doc_id, keep_id, group_size, rn = 1 as kept, text_sha256 from r"""
-
-OP4 = r"""with d as (
-  select doc_id, source, md5(coalesce(doc_id::varchar, '')) as key,
-    length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]', '', 'g'))::bigint as size from documents),
-s0 as (select coalesce('0' || source, '1') as skey, sum(size)::bigint as source_size from d group by 1),
-s1 as (select *, (row_number() over (order by skey) - 1) % 3 + 1 as w from s0),
-s2 as (select *, source_size * 3 as cap, row_number() over (order by source_size * 3 * (6 // w), skey) as place,
-  sum(source_size) over () - coalesce(sum(source_size * 3) over (order by source_size * 3 * (6 // w), skey rows between unbounded preceding and 1 preceding), 0) as lft,
-  sum(w) over () - coalesce(sum(w) over (order by source_size * 3 * (6 // w), skey rows between unbounded preceding and 1 preceding), 0) as lw from s1),
-cut as (select place as cp, lft as cl, lw as cw from s2 where cap * lw >= lft * w order by place limit 1),
-s3 as (select skey, source_size, case when place < cp then cap::double else (cl * w)::double / cw::double end as target from s2, cut),
-p as (select d.*, s3.source_size, s3.target, sum(size) over (partition by d.skey order by key, doc_id nulls last, size rows unbounded preceding) - size as start
-  from (select *, coalesce('0' || source, '1') as skey from d) d join s3 using (skey))
-select doc_id, size, source_size, target,
-  (least(greatest(floor(target)::bigint - start, 0), size) + least(greatest(floor(target)::bigint - source_size - start, 0), size)
-   + least(greatest(floor(target)::bigint - 2 * source_size - start, 0), size))::bigint as taken from p"""
-
-
 def oracle_sql() -> dict[str, str]:
     """Oracle SQL by query name."""
-    return {"op3_exact_dedup": OP3, "op4_mixing": OP4}
+    return {
+        "op3_exact_dedup": oracle.EXACT_DEDUP,
+        "op4_mixing": oracle.MIXING,
+        "op7_ngram_lm": oracle.NGRAM_LM,
+        "op8_quality_rules": oracle.quality_rules_sql(),
+    }
