@@ -21,9 +21,14 @@ def doubles(e):
     return e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
 
 
+def embeddings(spark, sf_dir):
+    """(d, y, x): the whole embeddings as features."""
+    return doubles(tables.table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("d"), F.col("label").alias("y"), "x")
+
+
 def vectors(spark, sf_dir):
     """(d, y, x): the first eight components of the embeddings as features."""
-    return doubles(tables.table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("d"), F.col("label").alias("y"), F.slice("x", 1, K).alias("x"))
+    return embeddings(spark, sf_dir).withColumn("x", F.slice("x", 1, K))
 
 
 # -- linear models and supervised topics
@@ -107,14 +112,9 @@ def svm_fit(spark, sf_dir):
 
 
 def solvers(spark, sf_dir):
-    """Weights of every single-task solver on a bounded problem: the first 200 vectors."""
-    rows = vectors(spark, sf_dir).filter("d < 200").orderBy("d").toPandas()
-    x, y = np.stack(rows.x), rows.y.to_numpy()
-    out = []
-    for name in [*linear.SOLVERS, "mcsvm"]:
-        labels, w = linear.train_one_task(x, y.astype(float) if "svr" in name else y, name, 0.5)
-        out += [(name, int(l), i, float(v)) for l, row in zip(labels or [-1], w) for i, v in enumerate(row)]
-    return spark.createDataFrame(out, "solver string, label int, k int, weight double")
+    """Weights of every exact solver over the whole table; a task for each solver and label."""
+    x, y, _ = linear.gathered(embeddings(spark, sf_dir))
+    return linear.train_tasks(spark, x, y, [*linear.SOLVERS, "mcsvm"], 0.5)
 
 
 def parameter_search(spark, sf_dir):

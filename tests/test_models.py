@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import dtm, etl, lda, linear, medlda, metrics, rtm
+from skein.plans import model_queries
 from skein.sources import files
 
 
@@ -95,6 +96,27 @@ def test_linear_models(spark):
     assert linear.best_c(spark, x, y, np.arange(90) % 3, "mcsvm", [0.1, 1.0])[1] > 0.9
 
 
+@pytest.fixture(scope="module")
+def far_vectors(spark, tmp_path_factory):
+    """(folder, x, y): an embeddings table whose ids all lie beyond 200, every component of use."""
+    rng, path = np.random.default_rng(4), tmp_path_factory.mktemp("far")
+    y = rng.integers(0, 3, 240)
+    x = (rng.standard_normal((240, 12)) + 3 * np.eye(12)[y + 9]).astype(np.float32)
+    rows = [(200 + i, list(map(float, a)), int(b)) for i, (a, b) in enumerate(zip(x, y))]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(str(path / "embeddings.parquet"))
+    return str(path), x.astype(float), y
+
+
+def test_solvers_train_on_all_rows_and_components(spark, far_vectors):
+    path, x, y = far_vectors
+    got = {(r["solver"], r["label"], r["k"]): r["weight"] for r in model_queries.solvers(spark, path).collect()}
+    want = {}
+    for name in [*linear.SOLVERS, "mcsvm"]:
+        labels, w = linear.train_one_task(x, y.astype(float) if "svr" in name else y, name, 0.5)
+        want |= {(name, l, k): v for l, row in zip(labels or [-1], w) for k, v in enumerate(row)}
+    assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], abs=1e-9) for key in want)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("7 0:2 3:1\n\n9 1:4")
     got = {tuple(r) for r in files.read_corpus(spark, [str(tmp_path / "a.txt")]).collect()}
