@@ -117,6 +117,15 @@ def test_solvers_train_on_all_rows_and_components(spark, far_vectors):
     assert got.keys() == want.keys() and all(got[key] == pytest.approx(want[key], abs=1e-9) for key in want)
 
 
+def test_parameter_search_validates_on_all_rows(spark, far_vectors):
+    path, x, y = far_vectors
+    d = np.arange(200, 440)
+    fold = np.empty(240, int)
+    fold[np.lexsort((d, d * 7919 % 1_000_003))] = np.arange(240) * 4 // 240
+    want = max(((linear.cross_validate(x, y, fold, "l2_lr", c), -c) for c in (0.01, 0.1, 1.0)))
+    assert [tuple(r) for r in model_queries.parameter_search(spark, path).collect()] == [(-want[1], pytest.approx(want[0]))]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("7 0:2 3:1\n\n9 1:4")
     got = {tuple(r) for r in files.read_corpus(spark, [str(tmp_path / "a.txt")]).collect()}
