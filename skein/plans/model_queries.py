@@ -105,8 +105,8 @@ def margin_term(spark, sf_dir):
 
 
 def svm_fit(spark, sf_dir):
-    """Training accuracy of the distributed hinge solver."""
-    rows = vectors(spark, sf_dir)
+    """Training accuracy of the distributed hinge solver on the whole embeddings."""
+    rows = embeddings(spark, sf_dir)
     labels, w, _ = linear.fit_hinge(rows, 1.0, rounds=4)
     return metrics.accuracy(linear.predict(rows, labels, w), "y", "pred")
 

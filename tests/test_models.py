@@ -126,6 +126,10 @@ def test_parameter_search_validates_on_all_rows(spark, far_vectors):
     assert [tuple(r) for r in model_queries.parameter_search(spark, path).collect()] == [(-want[1], pytest.approx(want[0]))]
 
 
+def test_svm_fit_sees_all_components(spark, far_vectors):
+    assert model_queries.svm_fit(spark, far_vectors[0]).first()["accuracy"] > 0.9
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("7 0:2 3:1\n\n9 1:4")
     got = {tuple(r) for r in files.read_corpus(spark, [str(tmp_path / "a.txt")]).collect()}
