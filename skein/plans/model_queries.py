@@ -135,12 +135,12 @@ def medlda_fit(spark, sf_dir):
 # -- relational topics
 
 
-def order_links(spark, sf_dir):
-    """(src, dst, y): consecutive orders of one customer, and as many pairs by a shift of the first."""
+def order_links(spark, sf_dir, span=1000):
+    """(src, dst, y): consecutive orders of one customer, and as many pairs by a shift of the first, modulo span."""
     o = tables.table(spark, sf_dir, "orders")
     nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     pos = o.select(F.col("o_orderkey").alias("src"), nxt.alias("dst")).filter("dst is not null")
-    neg = pos.select("src", ((F.col("src") * 31 + 7) % 1000).alias("dst"))
+    neg = pos.select("src", ((F.col("src") * 31 + 7) % F.lit(span)).alias("dst"))
     return pos.withColumn("y", F.lit(1)).unionByName(neg.withColumn("y", F.lit(0)))
 
 
@@ -209,10 +209,16 @@ def normal_cdf(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", F.round(arrays.normal_cdf((F.col("l_quantity") - 25) / 10), 9).alias("p"))
 
 
+def whole_links(spark, sf_dir):
+    """order_links() whose negative pairs reach every order."""
+    last = tables.table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0]
+    return order_links(spark, sf_dir, (last or 0) + 1)
+
+
 def rtm_fit(spark, sf_dir):
-    """Train and test AUC by iteration of a small relational model over orders of the first customers."""
+    """Train and test AUC by iteration of a small relational model over all orders."""
     dw = orders_corpus(spark, sf_dir)
-    links = order_links(spark, sf_dir).join(dw.select(F.col("d").alias("src")).distinct(), "src", "left_semi").join(dw.select(F.col("d").alias("dst")).distinct(), "dst", "left_semi")
+    links = whole_links(spark, sf_dir).join(dw.select(F.col("d").alias("src")).distinct(), "src", "left_semi").join(dw.select(F.col("d").alias("dst")).distinct(), "dst", "left_semi")
     links = links.dropDuplicates(["src", "dst"]).withColumn("split", F.when(F.col("src") % 5 == 0, "test").otherwise("train"))
     model = rtm.fit(dw, links.select("src", "dst", "y", "split"), 3, c_pos=2, c_neg=1, iterations=1)
     return spark.createDataFrame([(i, *h) for i, h in enumerate(model.history)], "iteration int, train_auc double, test_auc double")

@@ -130,6 +130,13 @@ def test_svm_fit_sees_all_components(spark, far_vectors):
     assert model_queries.svm_fit(spark, far_vectors[0]).first()["accuracy"] > 0.9
 
 
+def test_negative_links_reach_all_orders(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    far = model_queries.whole_links(spark, sf_dir).filter("y = 0").select("dst")
+    assert far.filter("dst >= 1000").count() > 0.2 * far.count()
+    assert far.join(keys, far["dst"] == keys["o_orderkey"], "left_anti").count() == 0
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("7 0:2 3:1\n\n9 1:4")
     got = {tuple(r) for r in files.read_corpus(spark, [str(tmp_path / "a.txt")]).collect()}
