@@ -137,6 +137,15 @@ def test_negative_links_reach_all_orders(spark, sf_dir):
     assert far.join(keys, far["dst"] == keys["o_orderkey"], "left_anti").count() == 0
 
 
+def test_dtm_scores_words_that_training_has_not_met(spark):
+    schema = "ep bigint, d bigint, v bigint, f bigint"
+    train = spark.createDataFrame([(d % 2, d, v, 1) for d in range(8) for v in range(4)], schema)
+    test = spark.createDataFrame([(0, 50, 1, 2)], schema), spark.createDataFrame([(0, 50, 90, 3)], schema)
+    model = dtm.fit(train, 1, dtm.Settings(topics=2, phi_rate=(0.01, 100, 0.51), burn_in=1, samples=1), test)
+    assert all(math.isfinite(h) for h in model.history)
+    assert {r["v"] for r in model.phi.select("v").distinct().collect()} == {0, 1, 2, 3, 90}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("7 0:2 3:1\n\n9 1:4")
     got = {tuple(r) for r in files.read_corpus(spark, [str(tmp_path / "a.txt")]).collect()}
