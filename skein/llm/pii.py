@@ -27,8 +27,12 @@ LOCAL = LETTERS | DIGITS | frozenset("._%+-")
 LABEL = LETTERS | DIGITS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 GAP = frozenset(" -")
+#: Capitals and digits, of which codes consist.
+CODE = DIGITS | frozenset(c for c in LETTERS if c.isupper())
 #: Words that announce a number of an account or an identity card.
 CUES = ("IBAN", "iban", "account", "Account", "acct", "Acct", "SSN", "ssn", "social security", "Social Security")
+#: Words, besides those for a number (no, nu...), that may stand between a cue and what it announces.
+LABELS = frozenset(("id", "code", "nr", "ref", "reference"))
 SCHEMES = ("http://", "https://", "ftp://")
 
 
@@ -143,26 +147,54 @@ def phone_at(text: str, at: int) -> tuple[int, int, int] | None:
     return at, hi, sum(c in DIGITS for c in text[at:hi])
 
 
+def iban_from(text: str, at: int) -> int | None:
+    """End of the longest IBAN that begins at at: capitals and digits, a separator between groups."""
+    n, hi, size, best = len(text), at, 0, None
+    if not (text[at : at + 2].isalpha() and text[at + 2 : at + 4].isdigit()):
+        return None
+    while hi < n and size < 34:
+        if text[hi] in CODE:
+            hi, size = hi + 1, size + 1
+            if size >= 15 and (hi == n or text[hi] not in CODE) and iban_holds("".join(c for c in text[at:hi] if c in CODE)):
+                best = hi
+        elif text[hi] in GAP and hi + 1 < n and text[hi + 1] in CODE:
+            hi += 1
+        else:
+            break
+    return best
+
+
 def after_cue(text: str, at: int) -> tuple[str, int, int] | None:
-    """(kind, start, end) of an identifier that follows a cue word ending at at."""
+    """(kind, start, end) of an identifier that follows a cue word ending at at.
+
+    Between them may be the rest of the cue's own word, label words and what is neither a
+    letter nor a digit. The next cue is no label, so no place is passed for two cues.
+    """
     n, lo = len(text), at
-    stop = min(n, at + 12)
-    while lo < stop and not (text[lo] in DIGITS or text[lo] in LETTERS and text[lo].isupper()):
-        if text[lo] in LETTERS and text[lo : lo + 2] not in ("no", "nu") and text[lo - 1] not in LETTERS:
+    while lo < n and text[lo] not in DIGITS:
+        if text[lo] not in LETTERS:
+            lo += 1
+            continue
+        if text[lo] in CODE and (end := iban_from(text, lo)):
+            return "account", lo, end
+        end = lo
+        while end < n and text[end] in LETTERS:
+            end += 1
+        word = text[lo:end].lower()
+        # What goes on the cue's own word, as a plural does, is passed as well.
+        if lo > at and not word.startswith(("no", "nu")) and word not in LABELS:
             return None
-        lo += 1
-    if lo >= stop:
+        lo = end
+    if lo >= n:
         return None
     hi = lo
-    while hi < n and (text[hi] in DIGITS or text[hi] in LETTERS and text[hi].isupper() or text[hi] in " -" and hi + 1 < n and text[hi + 1] in DIGITS):
+    while hi < n and (text[hi] in DIGITS or text[hi] in GAP and hi + 1 < n and text[hi + 1] in DIGITS):
         hi += 1
     body = text[lo:hi]
-    flat = "".join(c for c in body if c not in " -")
+    flat = "".join(c for c in body if c in DIGITS)
     if len(body) >= 11 and [len(p) for p in body[:11].split("-")] == [3, 2, 4] and body[:11].replace("-", "").isdigit() and body[:3] not in ("000", "666"):
         return "ssn", lo, lo + 11
-    if 15 <= len(flat) <= 34 and flat[:2].isalpha() and flat[2:4].isdigit() and iban_holds(flat):
-        return "account", lo, hi
-    if flat.isdigit() and 8 <= len(flat) <= 17:
+    if (hi == n or text[hi] not in CODE) and 8 <= len(flat) <= 17:
         return "account", lo, hi
     return None
 
@@ -170,7 +202,7 @@ def after_cue(text: str, at: int) -> tuple[str, int, int] | None:
 def url_user_at(text: str, at: int) -> tuple[int, int] | None:
     """End of a user part (name, maybe a password, an at-sign) that begins at at."""
     n, hi = len(text), at
-    while hi < n and hi - at < 256 and (text[hi] in LOCAL or text[hi] in ":~!$&'*,;="):
+    while hi < n and (text[hi] in LOCAL or text[hi] in ":~!$&'*,;="):
         hi += 1
     if hi == at or hi >= n or text[hi] != "@":
         return None

@@ -393,6 +393,19 @@ def test_pii_added_spans():
     assert find("the account of the matter in 2001") == []
 
 
+def test_pii_added_spans_of_any_form():
+    find = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, pii.automaton()) if k not in pii.BASE]
+    iban = "GB29 NWBK 6016 1331 9268 19"
+    assert find(f"IBAN {iban}") == find(f"IBAN Code: {iban} BIC NWBKGB2L") == [("account", iban)]
+    assert find("IBAN NO93 8601 1117 947.") == [("account", "NO93 8601 1117 947")]
+    for label in ("Account Number: ", "Account ID: ", "account no. ", "accounts ", "Account Number " + "." * 40 + " "):
+        assert find(label + "12345678 Bank") == [("account", "12345678")]
+    assert find("Social Security Number: 123-45-6789") == [("ssn", "123-45-6789")]
+    assert find("Account Manager 12345678") == find("account 12345678X") == []
+    user = "u" * 400 + "@host.org"
+    assert find(f"https://{user}/") == [("url_user", user)]
+
+
 def test_pii_table(spark, messy, empty, sf_dir):
     for docs in (messy, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         want = Counter((r["doc_id"], tuple(brute_pii(r["text"] or ""))) for r in rows(docs))
