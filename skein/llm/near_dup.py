@@ -346,13 +346,10 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (columns doc_id, text).
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, named): (uid, doc_id, n, sig) of each row; (sig, comp, least_id) of each set.
 
-    component_id is the smallest doc_id among the rows that links reach, the row itself
-    included. Null and empty texts, and texts without words, have no shingles, link with
-    nothing and are their own class; a text of fewer than five words has one shingle. Equal
-    rows and rows of one id are linked like any others. An empty table gives an empty table.
+    comp is null for a set that has no link; least_id is the smallest doc_id of the set's rows.
     """
     rows = written(set_rows(docs), "sets")
     members = written(rows.select("uid", "doc_id", "n", "sig"), "members")
@@ -426,18 +423,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = components(comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
 
     named = written(reps.join(final, reps["rep"] == final["node"], "left").select("sig", "comp", "least_id"), "named")
+    return members, named
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (columns doc_id, text).
+
+    component_id is the smallest doc_id among the rows that links reach, the row itself
+    included. Null and empty texts, and texts without words, have no shingles, link with
+    nothing and are their own class; a text of fewer than five words has one shingle. Equal
+    rows and rows of one id are linked like any others. An empty table gives an empty table.
+    """
+    members, named = classes(docs)
     best = written(named.filter("comp is not null").groupBy("comp").agg(F.min("least_id").alias("component_id")), "best")
     of_sig = named.join(best, "comp", "left").select("sig", F.coalesce("component_id", "least_id").alias("component_id"))
     out = members.filter("n > 0").join(of_sig, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(members.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def with_sets(docs: DataFrame) -> DataFrame:
+    """docs with _sig, the digest of each row's set, null for a row that has no shingles."""
+    at, names = docs.columns.index("text"), [*docs.columns, "_sig"]
+
+    def run(batches):
+        for batch in batches:
+            for part in textblock.row_blocks(batch, at):
+                grams, first = shingle_sets(part.column(at))
+                sig = [hashlib.blake2b(grams[lo:hi].tobytes(), digest_size=16).digest() if hi > lo else None for lo, hi in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names)
+
+    return docs.mapInArrow(run, docs.withColumn("_sig", F.lit(None).cast("binary")).schema)
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the one with the smallest id, its columns unchanged.
+    """docs with one row of each class: one with the smallest id, its columns unchanged.
 
-    Of rows that share the smallest id of a class, one stays. Rows without an id cannot be
-    told apart and all stay.
+    The row that stays is named by its id and its set, since ids may repeat or be null; of rows
+    that agree in both, one stays. Rows without shingles are their own class and all stay.
     """
-    found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter(F.col("doc_id").isNull()))
+    members, named = classes(docs)
+    first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "sig")).alias("x")
+    chosen = named.filter("comp is not null").groupBy("comp").agg(first).select("x.sig", "x.least_id")
+    chosen = written(chosen.union(named.filter("comp is null").select("sig", "least_id")), "chosen")
+    # An id of one row names that row; only rows of other ids are told apart by their sets again.
+    often = members.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    often = written(often.filter("_n > 1").select("doc_id"), "repeated")
+    stay = members.filter("n > 0").join(chosen.withColumnRenamed("least_id", "doc_id"), ["sig", "doc_id"], "left_semi").select("doc_id")
+    stay = stay.union(members.filter("n = 0").select("doc_id")).filter("doc_id is not null")
+    single = docs.join(stay.join(often, "doc_id", "left_anti"), "doc_id", "left_semi")
+    unclear = with_sets(docs.join(often, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null")))
+    named_so = F.col("_sig").eqNullSafe(F.col("_keep")) & F.col("doc_id").eqNullSafe(F.col("_least"))
+    keep = chosen.select(F.col("sig").alias("_keep"), F.col("least_id").alias("_least"))
+    once = unclear.filter("_sig is not null").join(keep, named_so, "left_semi").dropDuplicates(["doc_id", "_sig"])
+    return single.select(docs.columns).union(once.select(docs.columns)).union(unclear.filter("_sig is null").select(docs.columns))

@@ -165,6 +165,18 @@ def test_near_duplicates(messy, empty):
     assert near_dup.kept_documents(messy).columns == messy.columns
 
 
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    docs = [(1, text(1)), (1, text(2)), (2, text(1) + " more"), (3, text(3)), (3, text(3)), (3, text(1) + " less"), (3, "")]
+    docs += [(None, text(4)), (None, text(4) + " more"), (None, text(3) + " more"), (None, text(5)), (None, None), (4, text(6))]
+    kept = near_dup.kept_documents(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    fourth = [t for d, t in got if t and t.startswith("t4")]
+    assert len(fourth) == 1
+    want = [(1, text(1)), (1, text(2)), (3, text(3)), (3, ""), (None, fourth[0]), (None, text(5)), (None, None), (4, text(6))]
+    assert Counter(got) == Counter(want)
+
+
 @pytest.mark.parametrize("hot", [50, 2])
 def test_near_duplicates_with_frequent_shingles(spark, monkeypatch, hot):
     import random
