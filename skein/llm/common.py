@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Have Arrow batches to Python hold about size bytes at most, unless the session asks for fewer.
+
+    Rows of whole texts or sets are of very unlike sizes; a number of rows bounds no memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().rstrip("b")
+    now = int(now.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
+    if not 0 < now <= size:
+        spark.conf.set(key, str(size))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: cuts the lineage.
 

@@ -2,20 +2,24 @@
 
 A text is the set of its distinct 5-word shingles. Two sets whose similarity is at least
 3/4 share a shingle among the first n/4 + 1 of each (n: the set's size), under any one order
-of all shingles. The order here is by hash, with frequent shingles moved behind rare ones;
-frequent are those in more than max(HOT, N/HOT_SHARE) sets, so there are at most HOT_SHARE
-times the mean number of shingles of them, whatever the corpus: that bounds their broadcast.
+of all shingles. The order here has rare shingles first, by hash, and behind them frequent
+ones, by count. Frequent are those in more than HOT sets: a constant, whatever the corpus.
 
 1. Equal sets are collapsed (they are linked by definition).
-2. Sets with the same prefix and size form a group. Only groups meet: those that share a
-   rare prefix shingle, and whose sizes allow the similarity, are candidate pairs.
-3. Group leaders, members and their leader, and the sets of a frequent prefix shingle and
-   one of them are compared. What links is a class already; pairs inside it need no look.
-4. Candidates that are left, of different classes, are expanded to members and compared.
+2. Blocks of sets ask the ranges of the hash for their frequent shingles; the answers follow
+   each set by its number, so nothing that grows with the corpus is broadcast.
+3. Sets with the same prefix and size form a group. Groups that share a rare prefix shingle,
+   and whose sizes allow the similarity, are candidate pairs: at most HOT groups a shingle.
+4. Two sets that share no rare shingle have at most their frequent ones in common. Only sets
+   with a frequent shingle in their prefix can link that way, and only where the smaller
+   number of frequent ones is enough for the similarity. These are a few sets of the
+   largest families of copies; they are compared with one central set of the shingle.
+5. What links is a class already; pairs inside it need no look. Candidates of different
+   classes that are left are expanded to members and compared.
 
 A comparison first bounds the difference of two sets by their parity bitmaps, a few dozen
-bytes each; pairs that this cannot rule out are decided exactly, over whole sets. No step gathers the sets of a frequent shingle,
-a group or a class in one task, and none emits the pairs inside one.
+bytes each; pairs that this cannot rule out are decided over whole sets of 48-bit hashes: two
+unlike shingles of a pair of sets of n and m agree by chance with odds of n m / 2^48.
 """
 
 from __future__ import annotations
@@ -24,22 +28,26 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textblock
-from skein.llm.common import drop, release, written
+from skein.llm.common import bound_batches, drop, release, written
 from skein.llm.components import components
 
 SHINGLE = 5
 #: Links hold where PERCENT * union <= 100 * intersection.
 PERCENT = 75
-HOT, HOT_SHARE = 50, 5000
-#: Share of the hash range whose shingles are kept for prefixes; prefixes take a quarter of a set.
-LOW_SHARE = 0.5
-_LOW = np.uint64(int(LOW_SHARE * (1 << 48)))
-TOKENS_PER_RANGE = 400_000
-MIN_RANGE_BITS = 6
+#: A shingle in more sets than this is frequent.
+HOT = 50
+#: Half of the hash range, whose tokens are kept apart: prefixes take a quarter of a set.
+_LOW = np.uint64(1 << 47)
+TOKENS_PER_RANGE = 1_000_000
+MIN_RANGE_BITS = 10
+#: Ranges that a task works on, one after the other.
+RANGES_PER_TASK = 8
+#: Tokens, and row numbers, that a block of sets spans at most (one set at least).
+BLOCK_TOKENS, BLOCK_SPAN = 1_000_000, 1 << 16
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -104,9 +112,11 @@ def may_link(a: bytes, b: bytes, n: int) -> bool:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, n, sig, low, bits): size, digest, lowest tokens and bitmap of each row's set.
+    """(uid, doc_id, n, n_low, sig, low, high, bits): size, digest, tokens and bitmap of each row's set.
 
-    low holds the tokens below the LOW_SHARE mark, and at least as many as a prefix needs.
+    low holds the n_low lowest tokens, those of the lower half of the hash range or some more
+    than a prefix has if these are more; high holds the others. uid is a number that no other
+    row has.
     """
 
     def run(batches):
@@ -114,18 +124,21 @@ def set_rows(docs: DataFrame) -> DataFrame:
             for part in textblock.row_blocks(batch, 2):
                 grams, first = shingle_sets(part.column(2))
                 n = np.diff(first)
-                need = np.where(n > 0, prefix_size(n), 0)
-                sig, low, maps = [], [], []
+                need = np.minimum(n, prefix_size(n) + n // 8 + 4)
+                n_low, sig, low, high, maps = [], [], [], [], []
                 for i in range(len(n)):
                     own = grams[first[i] : first[i + 1]]
                     sig.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     maps.append(bitmap(own))
                     tokens = own >> np.uint64(16)
-                    low.append(pack(tokens[: max(int(np.searchsorted(tokens, _LOW)), int(need[i]))]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), pa.array(maps, pa.binary())], ["uid", "doc_id", "n", "sig", "low", "bits"])
+                    n_low.append(max(int(np.searchsorted(tokens, _LOW)), int(need[i])))
+                    low.append(pack(tokens[: n_low[i]]))
+                    high.append(pack(tokens[n_low[i] :]))
+                binary = [pa.array(x, pa.binary()) for x in (sig, low, high, maps)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(n_low, pa.int64()), *binary], ["uid", "doc_id", "n", "n_low", "sig", "low", "high", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid bigint, doc_id {kind}, n bigint, sig binary, low binary, bits binary")
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, f"uid bigint, doc_id {kind}, n bigint, n_low bigint, sig binary, low binary, high binary, bits binary")
 
 
 def range_bits(total: int) -> int:
@@ -153,100 +166,104 @@ def _within(values: np.ndarray) -> bytes:
     return values.astype("<u4").tobytes()
 
 
-def hot_tokens(sets: DataFrame, n_sets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(coarse tokens, counts) of those in the low parts of more than max(HOT, n/HOT_SHARE) sets.
+def hot_tokens(rows: DataFrame, bits: int) -> DataFrame:
+    """(uid, tok, df): each set's coarse tokens that more than HOT sets have, and in how many.
 
-    Counts are combined block by block before they are sent; a range's counts meet in one task
-    and only those above the bound go on.
+    A block of rows, the sets of one digest once, sends its tokens by range, with the place of
+    their set; in its range a token's sets are counted and those of frequent ones answered.
+    A group of equal sets is counted once a block, so a token may count as frequent for its
+    copies alone; that changes the order of shingles, never a result.
     """
-    bound = max(HOT, n_sets // HOT_SHARE)
-
-    def flush(held):
-        values, counts = np.unique(coarse(np.concatenate(held), bits), return_counts=True)
-        rows = []
-        for r, s in _split(values, bits):
-            once = counts[s] == 1
-            rows.append((r, _within(values[s][once]), b""))
-            if not once.all():
-                rows.append((r, _within(values[s][~once]), counts[s][~once].astype("<u4").tobytes()))
-        a, b, c = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["r", "t", "c"])
-
-    def partial(batches):
-        held, size = [], 0
+
+    def flush(base, held):
+        tokens = coarse(np.concatenate([t for _, t in held]), bits)
+        owner = np.repeat(np.array([u - base for u, _ in held], np.uint16), [len(t) for _, t in held])
+        order = np.argsort(tokens)
+        tokens, owner = tokens[order], owner[order]
+        cols = list(zip(*[(r, _within(tokens[s]), owner[s].tobytes()) for r, s in _split(tokens, bits)]))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([base] * len(cols[0]), pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["r", "base", "t", "o"])
+
+    def deal(batches):
+        base, held, size, met = 0, [], 0, set()
         for batch in batches:
-            for body in batch.column(0):
-                held.append(unpack(body.as_py()))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def total(batches):
+            for uid, sig, low, high in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                if held and (size > BLOCK_TOKENS or not 0 <= uid - base < BLOCK_SPAN):
+                    yield flush(base, held)
+                    held, size, met = [], 0, set()
+                if sig.as_py() in met:
+                    continue
+                base = base if held else uid
+                met.add(sig.as_py())
+                held.append((uid, np.concatenate([unpack(low.as_py()), unpack(high.as_py())])))
+                size += len(held[-1][1])
+        if held:
+            yield flush(base, held)
+
+    def count(batches):
         by: dict[int, list] = {}
         for batch in batches:
-            for r, t, c in zip(batch.column(0), batch.column(1), batch.column(2)):
-                values, counts = np.frombuffer(t.as_py(), "<u4"), np.frombuffer(c.as_py(), "<u4")
-                by.setdefault(r.as_py(), []).append((values, counts if len(counts) else np.ones(len(values), np.uint32)))
-        for r, parts in by.items():
-            values = np.concatenate([t for t, _ in parts])
-            order = np.argsort(values)
-            values, counts = values[order], np.concatenate([c for _, c in parts])[order].astype(np.int64)
-            at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            sums = np.add.reduceat(counts, at)
-            hot = sums > bound
-            yield pa.RecordBatch.from_arrays([pa.array(values[at][hot].astype(np.int64) + (r << min(32, 48 - bits))), pa.array(sums[hot])], ["tok", "df"])
-
-    found = sets.select("low").mapInArrow(partial, "r int, t binary, c binary").repartition("r").mapInArrow(total, "tok bigint, df bigint").toArrow()
-    tokens, counts = found.column("tok").to_numpy().astype(np.uint64), found.column("df").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], counts[order]
+            for r, base, t, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                by.setdefault(r, []).append((base, t.as_py(), o.as_py()))
+        for r in list(by):
+            parts = by.pop(r)
+            tokens = np.concatenate([np.frombuffer(t, "<u4") for _, t, _ in parts])
+            order = np.argsort(tokens)
+            at = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
+            df = np.diff(np.concatenate([at, [len(tokens)]]))
+            each = np.repeat(df, df)
+            chosen, df = order[each > HOT], each[each > HOT]
+            if len(chosen):
+                uid = np.concatenate([base + np.frombuffer(o, np.uint16).astype(np.int64) for base, _, o in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(uid[chosen]), pa.array(tokens[chosen].astype(np.int64) + (r << min(32, 48 - bits))), pa.array(df.astype(np.int64))], ["uid", "tok", "df"])
+
+    dealt = rows.filter("n > 0").select("uid", "sig", "low", "high").mapInArrow(deal, "r int, base bigint, t binary, o binary")
+    return dealt.repartition((1 << bits) // RANGES_PER_TASK, "r").mapInArrow(count, "uid bigint, tok bigint, df bigint")
 
 
 def prefix_of(tokens: np.ndarray, n: int, hot: np.ndarray, df: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix, is hot) of a set's low tokens: rare ones by hash, then frequent by count, then the rest."""
+    """(prefix, is hot) of a set: rare tokens by hash, then frequent ones by count.
+
+    tokens: the set's, or its lowest ones where those have rare ones enough for a prefix.
+    """
     p = int(prefix_size(np.int64(n)))
-    inside = int(np.searchsorted(tokens, _LOW))
-    part = coarse(tokens, bits)
-    at = np.searchsorted(hot, part)
-    known = np.zeros(len(tokens), bool)
-    if len(hot):
-        known = hot[np.minimum(at, len(hot) - 1)] == part
-    early = known[:inside]
-    rare = tokens[:inside][~early]
-    if len(rare) >= p:
-        return rare[:p], np.zeros(p, bool)
-    often = np.flatnonzero(early)
-    often = often[np.lexsort((tokens[often], df[at[often]]))]
-    out = np.concatenate([rare, tokens[often], tokens[inside:]])[:p]
-    flag = np.concatenate([np.zeros(len(rare), bool), np.ones(len(often), bool), known[inside:]])[:p]
-    return out, flag
-
-
-def with_prefixes(sets: DataFrame, shared, keep: bool) -> DataFrame:
-    """(rep, n, psig, rare, often) of sets (rep, n, low); without keep the last two are empty."""
+    if not len(hot):
+        return tokens[:p], np.zeros(min(p, len(tokens)), bool)
+    hot, at = np.unique(hot, return_index=True)
+    part = coarse(tokens, bits).astype(np.int64)
+    where = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
+    known = hot[where] == part
+    rare = tokens[~known][:p]
+    often = np.flatnonzero(known)
+    often = often[np.lexsort((tokens[often], df[at[where[often]]]))][: p - len(rare)]
+    return np.concatenate([rare, tokens[often]]), np.concatenate([np.zeros(len(rare), bool), np.ones(len(often), bool)])
+
+
+def with_prefixes(sets: DataFrame, bits: int) -> DataFrame:
+    """(rep, n, r, psig, rare, often) of sets (rep, n, tokens, hot); r: rare tokens of the whole set."""
 
     def run(batches):
-        (hot, df), bits = shared.value
         for batch in batches:
-            psig, rare, often = [], [], []
-            for n, low in zip(batch.column(1), batch.column(2)):
-                tokens, flag = prefix_of(unpack(low.as_py()), n.as_py(), hot, df, bits)
+            lists = batch.column(3)
+            edges, values = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            tok, df = values.field("tok").to_numpy(), values.field("df").to_numpy()
+            size, psig, rare, often = [], [], [], []
+            for i, (n, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                lo, hi = int(edges[i]), int(edges[i + 1])
+                tokens, flag = prefix_of(unpack(body.as_py()), n, tok[lo:hi], df[lo:hi], bits)
+                size.append(n - (hi - lo))
                 psig.append(hashlib.blake2b(pack(tokens), digest_size=16).digest())
-                rare.append(pack(np.sort(tokens[~flag])) if keep else b"")
-                often.append(np.unique(coarse(tokens[flag], bits)).astype(np.int64) if keep else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(psig, pa.binary()), pa.array(rare, pa.binary()), pa.array(often, pa.list_(pa.int64()))], ["rep", "n", "psig", "rare", "often"])
+                rare.append(pack(np.sort(tokens[~flag])))
+                often.append(np.unique(coarse(tokens[flag], bits)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(psig, pa.binary()), pa.array(rare, pa.binary()), pa.array(often, pa.list_(pa.int64()))], ["rep", "n", "r", "psig", "rare", "often"])
 
-    return sets.select("rep", "n", "low").mapInArrow(run, "rep bigint, n bigint, psig binary, rare binary, often array<bigint>")
+    return sets.select("rep", "n", "tokens", "hot").mapInArrow(run, "rep bigint, n bigint, r bigint, psig binary, rare binary, often array<bigint>")
 
 
 def rare_pairs(groups: DataFrame, bits: int) -> DataFrame:
     """Distinct (ga, gb), ga < gb: groups that share a rare prefix token and may be similar by size.
 
     Tokens of a block of groups are sent by hash range, sorted, with the block's groups once.
-    A rare token is in at most max(HOT, N/HOT_SHARE) groups, so its pairs are few.
+    A rare token is in at most HOT groups, so its pairs are few.
     """
 
     def deal(batches):
@@ -292,58 +309,63 @@ def rare_pairs(groups: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["ga", "gb"])
 
     dealt = groups.filter(F.octet_length("rare") > 0).select("gid", "n", "rare").mapInArrow(deal, "r int, t binary, o binary, g binary, n binary")
-    return dealt.repartition("r").mapInArrow(meet, "ga bigint, gb bigint").distinct()
-
-
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, body): whole sets, eight bytes a shingle, of wanted (rep, rep_doc, sig)."""
-
-    def run(batches):
-        for batch in batches:
-            for part in textblock.row_blocks(batch, 2):
-                grams, first = shingle_sets(part.column(2))
-                keep, bodies = [], []
-                for i, sig in enumerate(part.column(1)):
-                    body = grams[first[i] : first[i + 1]].tobytes()
-                    if hashlib.blake2b(body, digest_size=16).digest() == sig.as_py():
-                        keep.append(i)
-                        bodies.append(body)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(bodies, pa.binary())], ["rep", "body"])
-
-    found = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("rep", "sig", "text")
-    return found.mapInArrow(run, "rep bigint, body binary")
+    return dealt.repartition((1 << bits) // RANGES_PER_TASK, "r").mapInArrow(meet, "ga bigint, gb bigint").distinct()
 
 
-def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose bitmaps and sizes allow a link, by reps (rep, n, bits)."""
+def plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The distinct pairs (u, v) whose bitmaps and sizes allow a link, by rows (uid, n, bits)."""
 
     def run(batches):
         for batch in batches:
             ok = [may_link(a.as_py(), b.as_py(), n.as_py()) for a, b, n in zip(batch.column(2), batch.column(3), batch.column(4))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    left = reps.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("a"))
-    right = reps.select(F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("b"))
-    rows = pairs.join(left, "u").join(right, "v").filter(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-    return rows.select("u", "v", "a", "b", (F.col("nu") + F.col("nv")).alias("n")).mapInArrow(run, "u bigint, v bigint")
+    left = rows.select(F.col("uid").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("a"))
+    right = rows.select(F.col("uid").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").filter(sizes_allow("nu", "nv"))
+    return both.select("u", "v", "a", "b", (F.col("nu") + F.col("nv")).alias("n")).mapInArrow(run, "u bigint, v bigint")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets are similar enough."""
+def bodies_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, body): whole sets of the rows at either end of pairs (u, v), written."""
+    ends = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "ends")
+    found = written(rows.select("uid", F.concat("low", "high").alias("body")).join(ends, "uid").select(F.col("uid").alias("rep"), "body"), "bodies")
+    drop(ends)
+    return found
+
+
+def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets are similar enough, written."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
             ok = []
-            for x, y in zip(a, b):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = unpack(x.as_py()), unpack(y.as_py())
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 ok.append(100 * both >= PERCENT * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
+    sets = bodies_of(pairs, rows)
     left = sets.select(F.col("rep").alias("u"), F.col("body").alias("a"))
     right = sets.select(F.col("rep").alias("v"), F.col("body").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
+    out = written(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint"), "links")
+    drop(sets)
+    return out
+
+
+def sizes_allow(a: str, b: str) -> Column:
+    """Whether sets of these sizes (columns) can be similar enough."""
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def frequent_allow(n: str, r: str, m: str, q: str) -> Column:
+    """Whether sets of n and m shingles, r and q of them rare, can link by frequent ones alone.
+
+    They have at most the smaller number of frequent ones in common.
+    """
+    most = F.least(F.col(n) - F.col(r), F.col(m) - F.col(q))
+    return sizes_allow(n, m) & ((100 + PERCENT) * most >= PERCENT * (F.col(n) + F.col(m)))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -351,49 +373,57 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     comp is null for a set that has no link; least_id is the smallest doc_id of the set's rows.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = written(set_rows(docs), "sets")
     members = written(rows.select("uid", "doc_id", "n", "sig"), "members")
-    held = F.struct("uid", "doc_id", "n", "low", "bits")
-    sets = rows.filter("n > 0").groupBy("sig").agg(F.min_by(held, "uid").alias("x"), F.min("doc_id").alias("least_id"))
-    sets = written(sets.select(F.col("x.uid").alias("rep"), F.col("x.doc_id").alias("rep_doc"), F.col("x.n").alias("n"), F.col("x.low").alias("low"), F.col("x.bits").alias("bits"), "sig", "least_id"), "distinct")
-    drop(rows)
-    release(docs.sparkSession)
-    size = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("low")), F.lit(0)).alias("b")).first()
-    bits = range_bits(size["b"] // 6)
-    shared = docs.sparkSession.sparkContext.broadcast((hot_tokens(sets, size["n"], bits), bits))
-
-    held = F.struct("rep", "rare", "often")
-    groups = with_prefixes(sets, shared, True).groupBy("psig", "n").agg(F.min_by(held, "rep").alias("x"), F.count(F.lit(1)).alias("size"))
-    groups = written(groups.select(F.col("x.rep").alias("gid"), "psig", "n", F.col("x.rare").alias("rare"), F.col("x.often").alias("often"), "size"), "groups")
+    sets = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("uid", "n", "n_low")).alias("x"), F.min("doc_id").alias("least_id"))
+    sets = written(sets.select(F.col("x.uid").alias("rep"), F.col("x.n").alias("n"), F.col("x.n_low").alias("n_low"), "sig", "least_id"), "distinct")
+    bits = range_bits(sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+    # Prefixes: from the lower half of the hash range where that has rare shingles enough, else from all.
+    hot = hot_tokens(rows, bits).groupBy("uid").agg(F.collect_list(F.struct("tok", "df")).alias("hot")).withColumnRenamed("uid", "rep")
+    none = F.array().cast("array<struct<tok:bigint,df:bigint>>")
+    known = sets.select("rep", "n", "n_low").join(hot, "rep", "left").withColumn("hot", F.coalesce("hot", none))
+    short = F.col("n_low") - F.size("hot") < F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1")
+    known = written(known.withColumn("short", short).drop("n_low"), "known")
+    release(spark)
+    # Their numbers alone are a small table, so that not all whole sets need be dealt out for them.
+    few = written(known.filter("short").select("rep"), "short")
+    body = lambda column: rows.select(F.col("uid").alias("rep"), column.alias("tokens"))
+    tokens = lambda those, keep: those.join(known.filter(keep), "rep").select("rep", "n", "tokens", "hot")
+    whole = written(body(F.concat("low", "high")).join(few, "rep"), "whole")
+    release(spark)
+    found = written(with_prefixes(tokens(body(F.col("low")), "not short").union(tokens(whole, "short")), bits), "prefixes")
+    for old in (known, few, whole):
+        drop(old)
+    release(spark)
+    held = F.struct("rep", "r", "rare", "often")
+    groups = found.groupBy("psig", "n").agg(F.min_by(held, "rep").alias("x"), F.count(F.lit(1)).alias("size"))
+    groups = written(groups.select(F.col("x.rep").alias("gid"), "psig", "n", F.col("x.r").alias("r"), F.col("x.rare").alias("rare"), F.col("x.often").alias("often"), "size"), "groups")
     several = groups.filter("size > 1").select("psig", "n", "gid")
-    grouped = written(with_prefixes(sets, shared, False).select("rep", "n", "psig").join(several, ["psig", "n"]).select("rep", "gid", "n"), "grouped")
-    reps = written(sets.select("rep", "rep_doc", "n", "sig", "bits", "least_id"), "reps")
-    drop(sets)
-    release(docs.sparkSession)
+    grouped = written(found.select("rep", "n", "psig").join(several, ["psig", "n"]).select("rep", "gid", "n"), "grouped")
+    drop(found)
+    release(spark)
 
     # The candidates: pairs of groups, rows of frequent tokens, members of groups.
     pairs = written(rare_pairs(groups, bits), "pairs")
-    often = groups.filter(F.size("often") > 0).select("gid", "n", (F.size("often") / F.col("n")).alias("share"), F.explode("often").alias("tok"))
-    often = written(often, "often")
+    often = written(groups.filter(F.size("often") > 0).select("gid", "n", "r", F.explode("often").alias("tok")), "often")
+    drop(groups)
+    release(spark)
     # Aggregates are written before they are joined back, so that adaptive execution can split a hot key.
     # The set with the largest share of frequent shingles is nearest to what the others are copies of.
-    centre = F.max(F.struct("share", (-F.col("gid")).alias("neg"), "n", "gid"))
+    centre = F.max(F.struct(((F.col("n") - F.col("r")) / F.col("n")).alias("share"), (-F.col("gid")).alias("neg"), "n", "r", "gid"))
     pivots = written(often.groupBy("tok").agg(centre.alias("x")), "pivots")
-    spokes = often.select("gid", "n", "tok").join(pivots, "tok").select("gid", "n", "x")
-    spokes = spokes.filter((F.col("gid") != F.col("x.gid")) & (100 * F.least("n", "x.n") >= PERCENT * F.greatest("n", "x.n")))
+    spokes = often.join(pivots, "tok").select("gid", "n", "r", F.col("x.gid").alias("pid"), F.col("x.n").alias("pn"), F.col("x.r").alias("pr"))
+    spokes = spokes.filter((F.col("gid") != F.col("pid")) & frequent_allow("n", "r", "pn", "pr"))
     nearest = pairs.groupBy("gb").agg(F.min("ga").alias("ga")).select(F.col("ga").alias("u"), F.col("gb").alias("v"))
-    first = nearest.union(spokes.select(F.least("gid", "x.gid").alias("u"), F.greatest("gid", "x.gid").alias("v")))
-    first = written(first.union(grouped.filter("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v"))).distinct(), "first")
-
-    drop(groups)
-    release(docs.sparkSession)
-    first = written(plausible(first, reps), "plausible")
-    leaders = plausible(pairs.select(F.col("ga").alias("u"), F.col("gb").alias("v")), reps)
-    ends = lambda df: df.select(F.explode(F.array("u", "v")).alias("rep"))
-    wanted = written(reps.select("rep", "rep_doc", "sig").join(ends(first).union(ends(leaders)).distinct(), "rep"), "wanted")
-    bodies = written(full_sets(docs, wanted), "bodies")
-    links = written(linked(first, bodies), "links")
+    first = nearest.union(spokes.select(F.least("gid", "pid").alias("u"), F.greatest("gid", "pid").alias("v")))
+    first = first.union(grouped.filter("rep <> gid").select(F.col("gid").alias("u"), F.col("rep").alias("v"))).distinct()
+    first = written(plausible(first, rows), "first")
+    links = linked(first, rows)
     comps = written(components(links), "comps")
+    release(spark)
 
     # What is left: candidates of different classes, group members in place of their leader.
     comp_of = lambda df, node, out: df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
@@ -410,19 +440,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     stray = written(side(often, "gid", "lo", "hi"), "stray")
     mixed = written(stray.groupBy("tok").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("tok"), "mixed")
-    stray = written(stray.join(mixed, "tok").select("tok", "gid", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c")), "stray")
-    other = stray.select("tok", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    crossing = stray.withColumnRenamed("gid", "ga").join(other, "tok").filter("ga < gb and (c is null or cb is null or c <> cb)")
-    crossing = crossing.filter(100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb")).select("ga", "gb").distinct()
+    stray = stray.join(mixed, "tok").select("tok", "gid", "n", "r", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("c"))
+    stray = written(stray, "open")
+    other = stray.select("tok", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("c").alias("cb"))
+    meets = (F.col("ga") < F.col("gb")) & F.coalesce(F.col("c") != F.col("cb"), F.lit(True)) & frequent_allow("n", "r", "nb", "rb")
+    crossing = stray.withColumnRenamed("gid", "ga").join(other, "tok").filter(meets).select("ga", "gb").distinct()
     split = crowd.join(spread.filter("lo <> hi").select("gid"), "gid")
     within = split.alias("a").join(split.alias("b"), "gid").filter("a.rep < b.rep and a.c <> b.c").select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-    rest = written(plausible(expanded(open_pairs.select("ga", "gb").union(crossing)).union(within).distinct(), reps), "rest")
-    missing = ends(rest).distinct().join(wanted.select("rep"), "rep", "left_anti")
-    missing = written(reps.select("rep", "rep_doc", "sig").join(missing, "rep"), "missing")
-    more = linked(rest, bodies.union(full_sets(docs, missing)) if missing.head(1) else bodies)
+    rest = expanded(open_pairs.select("ga", "gb").union(crossing).distinct()).union(within).distinct()
+    rest = written(plausible(rest, rows), "rest")
+    more = linked(rest, rows)
     final = components(comps.filter("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).union(more))
-
-    named = written(reps.join(final, reps["rep"] == final["node"], "left").select("sig", "comp", "least_id"), "named")
+    named = written(sets.join(final, sets["rep"] == final["node"], "left").select("sig", "comp", "least_id"), "named")
+    for old in (rows, sets, grouped, pairs, often, pivots, first, links, comps, spread, mixed, stray, rest, more):
+        drop(old)
+    release(spark)
     return members, named
 
 
@@ -441,38 +473,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.union(members.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def with_sets(docs: DataFrame) -> DataFrame:
-    """docs with _sig, the digest of each row's set, null for a row that has no shingles."""
-    at, names = docs.columns.index("text"), [*docs.columns, "_sig"]
+def with_sets(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, sig) of rows (row, doc_id, text): the digest of each row's set, null without shingles."""
 
     def run(batches):
         for batch in batches:
-            for part in textblock.row_blocks(batch, at):
-                grams, first = shingle_sets(part.column(at))
+            for part in textblock.row_blocks(batch, 2):
+                grams, first = shingle_sets(part.column(2))
                 sig = [hashlib.blake2b(grams[lo:hi].tobytes(), digest_size=16).digest() if hi > lo else None for lo, hi in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sig, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig, pa.binary())], ["row", "doc_id", "sig"])
 
-    return docs.mapInArrow(run, docs.withColumn("_sig", F.lit(None).cast("binary")).schema)
+    return rows.mapInArrow(run, rows.drop("text").withColumn("sig", F.lit(None).cast("binary")).schema)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: one with the smallest id, its columns unchanged.
 
     The row that stays is named by its id and its set, since ids may repeat or be null; of rows
-    that agree in both, one stays. Rows without shingles are their own class and all stay.
+    that agree in both, one stays. Rows without shingles are their own class and all stay. Rows
+    travel in a struct, so their columns may have any names. An empty table gives an empty one.
     """
     members, named = classes(docs)
     first = F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "sig")).alias("x")
     chosen = named.filter("comp is not null").groupBy("comp").agg(first).select("x.sig", "x.least_id")
     chosen = written(chosen.union(named.filter("comp is null").select("sig", "least_id")), "chosen")
     # An id of one row names that row; only rows of other ids are told apart by their sets again.
-    often = members.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    often = written(often.filter("_n > 1").select("doc_id"), "repeated")
+    often = members.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    often = written(often.filter("n_rows > 1").select("doc_id"), "repeated")
     stay = members.filter("n > 0").join(chosen.withColumnRenamed("least_id", "doc_id"), ["sig", "doc_id"], "left_semi").select("doc_id")
     stay = stay.union(members.filter("n = 0").select("doc_id")).filter("doc_id is not null")
-    single = docs.join(stay.join(often, "doc_id", "left_anti"), "doc_id", "left_semi")
-    unclear = with_sets(docs.join(often, "doc_id", "left_semi").select(docs.columns).union(docs.filter("doc_id is null")))
-    named_so = F.col("_sig").eqNullSafe(F.col("_keep")) & F.col("doc_id").eqNullSafe(F.col("_least"))
-    keep = chosen.select(F.col("sig").alias("_keep"), F.col("least_id").alias("_least"))
-    once = unclear.filter("_sig is not null").join(keep, named_so, "left_semi").dropDuplicates(["doc_id", "_sig"])
-    return single.select(docs.columns).union(once.select(docs.columns)).union(unclear.filter("_sig is null").select(docs.columns))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", "text")
+    single = rows.join(stay.join(often, "doc_id", "left_anti"), "doc_id", "left_semi")
+    unclear = with_sets(rows.join(often, "doc_id", "left_semi").select("row", "doc_id", "text").union(rows.filter("doc_id is null")))
+    named_so = F.col("sig").eqNullSafe(F.col("keep")) & F.col("doc_id").eqNullSafe(F.col("least"))
+    keep = chosen.select(F.col("sig").alias("keep"), F.col("least_id").alias("least"))
+    once = unclear.filter("sig is not null").join(keep, named_so, "left_semi").dropDuplicates(["doc_id", "sig"])
+    return single.select("row.*").union(once.select("row.*")).union(unclear.filter("sig is null").select("row.*"))
