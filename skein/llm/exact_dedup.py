@@ -92,11 +92,10 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns, in any order.
 
     Rows are matched by id and digest, since ids may repeat; of rows that agree in both, the
-    longest stays, once.
+    longest stays, once. Rows travel in a struct, so their columns may have any names.
     """
+    keep = exact_dedup(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("sha"))
     sha = F.sha2(F.encode(F.translate(text_or_empty(), SPACE_CHARS, ""), "utf-8"), 256)
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_sha", sha)
-    hit = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    return hit.groupBy("doc_id", "_sha").agg(F.max_by(row, F.length(text_or_empty())).alias("_row")).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), sha.alias("digest"))
+    hit = rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("sha")), "left_semi")
+    return hit.groupBy("id", "digest").agg(F.max_by("row", F.length(F.coalesce("row.text", F.lit("")))).alias("row")).select("row.*")

@@ -151,13 +151,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix meets them: each row as often as it has passes, in training order.
 
     A document that the end of its source's stream cuts is met whole. Rows of one id are
-    matched with the mix's rows of that id by size.
+    matched with the mix's rows of that id by source and size. Rows travel in a struct, so their columns may have any names.
     """
-    nth = lambda order: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(*order))
-    met = mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "positions", "taken")
-    met = met.withColumn("_nth", nth(["taken", "positions"])).filter(F.size("positions") > 0).withColumnRenamed("_nth", "_n")
-    met = met.select(F.col("_id").alias("m_id"), F.col("_source").alias("m_source"), F.col("_size").alias("m_size"), "_n", F.explode("positions").alias("_at"))
-    left = docs.withColumn("_id", F.col("doc_id")).withColumn("_source", F.col("source")).withColumn("_size", word_count(text_or_empty()))
-    left = left.withColumn("_nth", nth(["text"]))
-    same = F.col("_id").eqNullSafe(F.col("m_id")) & F.col("_source").eqNullSafe(F.col("m_source")) & (F.col("_size") == F.col("m_size")) & (F.col("_nth") == F.col("_n"))
-    return left.join(met, same).orderBy("_at", "doc_id").select(*docs.columns)
+    key = ["id", "source", "size"]
+    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    met = mix(docs).select(F.col("doc_id").alias("id"), "source", "size", "positions", "taken").withColumn("n", nth(["taken", "positions"]))
+    met = met.filter(F.size("positions") > 0).select(*[F.col(c).alias(f"met_{c}") for c in (*key, "n")], F.explode("positions").alias("at"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "source", word_count(text_or_empty()).alias("size"))
+    rows = rows.withColumn("n", nth(["row.text"]))
+    same = F.col("id").eqNullSafe(F.col("met_id")) & F.col("source").eqNullSafe(F.col("met_source")) & (F.col("size") == F.col("met_size")) & (F.col("n") == F.col("met_n"))
+    return rows.join(met, same).orderBy("at", "id").select("row.*")

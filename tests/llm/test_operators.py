@@ -424,3 +424,18 @@ def test_pii_table(spark, messy, empty, sf_dir):
         got = Counter((r["doc_id"], tuple((m["kind"], m["start"], m["end"]) for m in r["found"] if m["kind"] in pii.BASE)) for r in pii.find_pii(docs).collect())
         assert got == want
     assert pii.find_pii(empty).count() == 0
+
+
+# -- input columns named like those of the operators
+
+
+def test_kept_rows_may_have_any_columns(spark):
+    names = ["_id", "_sha", "_at", "_sig", "_row", "row", "id", "n", "at", "sig", "size", "met_id", "digest", "_source", "_size", "_nth", "words", "kinds"]
+    text = lambda k: " ".join(f"the{k} of{i} and" for i in range(30))
+    rows_in = [(k, text(k % 4), ["a", None][k % 2], *[f"{c}{k}" for c in names]) for k in (0, 1, 2, 3, 3, 4)]
+    docs = spark.createDataFrame(rows_in, "doc_id bigint, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for stage in (exact_dedup.kept_documents, near_dup.kept_documents, mixing.mixed_documents, quality_rules.kept_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows_in)
+    assert len({r["text"] for r in exact_dedup.kept_documents(docs).collect()}) == 4
