@@ -141,4 +141,4 @@ def write_parameters(phi: DataFrame, alpha: DataFrame, path: str) -> None:
 
 def split_input(spark: SparkSession, source: str, path: str, lines: int) -> None:
     """Deal text lines over gzip files of at most so many lines."""
-    spark.read.text(source).write.option("maxRecordsPerFile", lines).option("compression", "gzip").text(path)
+    spark.read.text(source).select("value").write.option("maxRecordsPerFile", lines).option("compression", "gzip").text(path)
