@@ -19,16 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textblock
-from skein.llm.common import release, written
+from skein.llm.common import bound_batches, release, written
 
 ORDER = 3
 BACKOFF = 0.4
 #: N-grams of two words and more that the corpus has less often are taken as unseen.
 MIN_COUNT = 2
-ROWS_PER_BLOCK = 4000
+#: Rows of a block; a text of more than LONG_TEXT bytes is a block of its own, so a block has at most 256 MB.
+ROWS_PER_BLOCK, LONG_TEXT = 4000, 1 << 16
 NGRAMS_PER_RANGE = 6_000_000
 MIN_RANGE_BITS = 6
-#: Bits of the hash, beyond those that name the range, by which n-grams are told apart.
+#: Bits of the hash, beyond those that name the range, by which n-grams are told apart. As the
+#: ranges grow in number with the corpus, an n-gram shares its count with an unlike one with odds
+#: of at most NGRAMS_PER_RANGE / 2^40, about 6 in a million, whatever the corpus.
 BITS_IN_RANGE = 40
 
 
@@ -43,7 +46,8 @@ def _counts_of(column: pa.Array, order: int):
 def _block_column() -> Column:
     at = F.monotonically_increasing_id()
     inside = at.bitwiseAND(F.lit((1 << 33) - 1))
-    return F.shiftright(at, 33) * F.lit(1 << 24) + F.floor(inside / ROWS_PER_BLOCK)
+    several = F.shiftright(at, 33) * F.lit(1 << 24) + F.floor(inside / ROWS_PER_BLOCK)
+    return F.when(F.octet_length("text") > LONG_TEXT, F.lit(-2) - at).otherwise(several)
 
 
 def _rows(parts):
@@ -56,8 +60,10 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
 
     def flush(block, held):
         _, grams = _counts_of(pa.concat_arrays(held), order)
-        for o, g in enumerate(grams, 1):
-            values, counts = np.unique(g, return_counts=True)
+        each = [np.unique(g, return_counts=True) for g in grams]
+        # The sums of the distinct n-grams tell whether the second reading has the same blocks.
+        yield block % (1 << bits), block, 0, np.array([v.sum(dtype=np.uint64) for v, _ in each], "<u8").tobytes(), b""
+        for o, (values, counts) in enumerate(each, 1):
             edges = np.searchsorted(values >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             inside = (values << np.uint64(bits)) >> np.uint64(64 - BITS_IN_RANGE)
             for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
@@ -70,17 +76,16 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else [0]
             for lo, hi in zip(cuts, cuts[1:]):
+                if ids[lo] < -1:
+                    yield _rows(list(flush(int(ids[lo]), [batch.column(1).slice(lo, hi - lo)])))
+                    continue
                 if block is not None and ids[lo] != block:
-                    parts = list(flush(block, held))
-                    if parts:
-                        yield _rows(parts)
+                    yield _rows(list(flush(block, held)))
                     held = []
                 block = int(ids[lo])
                 held.append(batch.column(1).slice(lo, hi - lo))
         if held:
-            parts = list(flush(block, held))
-            if parts:
-                yield _rows(parts)
+            yield _rows(list(flush(block, held)))
 
     return blocked.select("block", "text").mapInArrow(run, "r int, block bigint, o int, g binary, c binary")
 
@@ -88,7 +93,8 @@ def requests(blocked: DataFrame, order: int, bits: int) -> DataFrame:
 def answers(asked: DataFrame) -> DataFrame:
     """(block, r, o, c, n): the corpus counts of each request's n-grams, in its order.
 
-    A row of block -1 and order 1 has in n the words that the corpus has in a range.
+    A row of block -1 and order 1 has in n the words that the corpus has in a range; one of
+    order 0 has in c the sums of the block's distinct n-grams, as they were sent.
     """
 
     def run(batches):
@@ -99,6 +105,10 @@ def answers(asked: DataFrame) -> DataFrame:
                 by.setdefault((r, o), []).append((block, g, c))
         for r, o in sorted(by):
             parts = by.pop((r, o))
+            if o == 0:
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int64()), pa.array([r] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([g for _, g, _ in parts], pa.binary()), pa.array([0] * n, pa.int64())], ["block", "r", "o", "c", "n"])
+                continue
             each = [textblock.unpack_ascending(g) for _, g, _ in parts]
             grams = np.concatenate(each)
             counts = np.concatenate([textblock.unpack_counts(c) for _, _, c in parts])
@@ -119,23 +129,30 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.repartition("r").mapInArrow(run, "block bigint, r int, o int, c binary, n bigint")
 
 
-def score_block(column: pa.Array, sums: list[np.ndarray], total: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+def score_block(column: pa.Array, sums: list[np.ndarray], total: int, order: int, check: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(words, sum of log10 scores) of each text of a block.
 
     sums: by order from 1, the corpus counts of the block's distinct n-grams, ascending by hash.
+    check: the sums of those n-grams when they were sent; others are an error, never a wrong score.
     """
     first, grams = _counts_of(column, order)
+    sent = np.frombuffer(check, "<u8") if check else None
     n_words = np.diff(first)
     text = np.repeat(np.arange(len(n_words)), n_words)
     rank = np.arange(len(text)) - first[text]
     by_place = []
     for k, g in enumerate(grams, 1):
-        values = np.unique(g)
-        if len(values) != len(sums[k - 1]):
+        # One sort names each place's n-gram among the distinct ones; no place is searched for.
+        order_of = np.argsort(g)
+        ascending = g[order_of]
+        fresh = np.ones(len(g), bool)
+        fresh[1:] = ascending[1:] != ascending[:-1]
+        nth = np.cumsum(fresh) - 1
+        if int(fresh.sum()) != len(sums[k - 1]) or sent is not None and ascending[fresh].sum(dtype=np.uint64) != sent[k - 1]:
             raise RuntimeError("the blocks of the second reading are not those of the first; write the input as a table first")
         # Count of the n-gram that ends at each place; 0 where the text has not had so many words.
         out = np.zeros(len(text), np.int64)
-        out[rank >= k - 1] = sums[k - 1][np.searchsorted(values, g)]
+        out[np.flatnonzero(rank >= k - 1)[order_of]] = sums[k - 1][nth]
         by_place.append(out)
     score = np.log10(np.maximum(by_place[0], 1) / max(total, 1)) + (order - 1) * np.log10(BACKOFF)
     for k in range(2, order + 1):
@@ -160,12 +177,13 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     count / all words. Counts are over all rows. Null texts and texts without words have 0
     words and score 0; log10_per_word is null there. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     blocked = docs.select(_block_column().alias("block"), "doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     bits = max(MIN_RANGE_BITS, int(size * order // 8 // NGRAMS_PER_RANGE).bit_length())
     found = written(answers(requests(blocked, order, bits)), "counts")
     release(docs.sparkSession)
-    total = found.filter("block < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = found.filter("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def join(texts: pa.Table, counts: pa.Table) -> pa.Table:
@@ -175,9 +193,9 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         sums = [np.concatenate([np.zeros(0, np.int64), *(textblock.unpack_counts(parts[o][r]) for r in sorted(parts.get(o, {})))]) for o in range(1, order + 1)]
         column = texts.column("text").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        words, score = score_block(column, sums, total, order)
+        words, score = score_block(column, sums, total, order, parts.get(0, {None: None}).popitem()[1])
         per = [s / w if w else None for s, w in zip(score, words)]
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(words, pa.int64()), "log10_score": pa.array(score, pa.float64()), "log10_per_word": pa.array(per, pa.float64())})
 
-    counts = found.filter("block >= 0").select("block", "r", "o", "c")
+    counts = found.filter("block <> -1").select("block", "r", "o", "c")
     return blocked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(join, f"doc_id {kind}, n_words bigint, log10_score double, log10_per_word double")
