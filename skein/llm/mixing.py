@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import text_or_empty, word_count
+from skein.llm.common import text_or_empty, word_count, written
 
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -103,9 +103,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple =
     key = F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
     # Orders as the source does, null last: no character is above the last code point.
     skey = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
-    rows = docs.select("doc_id", "source", skey.alias("skey"), word_count(text_or_empty()).alias("size"), key.alias("key"))
+    # Written once: every sum below is over these few bytes a row, and texts are cut into words once.
+    rows = written(docs.select("doc_id", "source", skey.alias("skey"), word_count(text_or_empty()).alias("size"), key.alias("key")), "sizes")
     per_source = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    bits = min(32, max(0, math.ceil(math.log2(max(1, docs.count()) / ROWS_PER_BUCKET))))
+    bits = min(32, max(0, math.ceil(math.log2(max(1, rows.count()) / ROWS_PER_BUCKET))))
     lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint")
     rows = rows.withColumn("bucket", F.shiftright(lead, 32 - bits))
 
