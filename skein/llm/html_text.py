@@ -4,20 +4,28 @@ The markup is cut into blocks at block-level tags. The first pass looks at each
 its length, the share of its characters inside links, and its density of stop words say
 whether it is text, boilerplate, or a short or middling block that cannot be told yet. A
 block inside a part that is boilerplate by its nature (a menu, a form, an advert, ...) is
-boilerplate. The second pass gives each undecided block the label of its nearest decided
-neighbours: where both sides agree, theirs; where they differ, that of the side in the same
-section, else text only for a block that was near to text.
+boilerplate; one inside a part declared as main needs less evidence to be text, and lack of
+stop words leaves it open. The second pass gives each undecided block the label of its
+nearest decided neighbours: where both sides agree, theirs; where they differ, that of the
+side in the same section, else text only for a block that was near to text. A declared main
+part that has no decided block at all is kept: its page declares what no rule denies.
+
+Time is linear in the page, whatever its markup: a token is matched once and never given
+back, open elements are counted by name, and a missing end tag is looked for once.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.common import bound_batches
+
 MAX_LINK_DENSITY = 0.4
 SHORT_CHARS = 70
 LONG_CHARS = 200
@@ -55,7 +63,8 @@ BOILER_NAMES = frozenset(
 )
 MAIN_TAGS = frozenset(("article", "main"))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+(?:>|\Z)", re.S)
+END = {name: re.compile(rf"</{name}\s*>", re.I) for name in DROPPED}
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
@@ -86,41 +95,55 @@ def named_boiler(tag: str) -> bool:
     return False
 
 
+def kind_of(name: str) -> str:
+    """The kind of element that blocks remember: heading, main part, link, or none of these."""
+    return "a" if name == "a" else "main" if name in MAIN_TAGS else "heading" if re.fullmatch("h[1-6]", name) else ""
+
+
 def blocks_of(html: str) -> list[Block]:
     """Blocks of a page in order, white space folded, empty ones left out.
 
     Tags need not be closed or balanced: an end tag closes the nearest open element of its
     name and what is open inside it; one without an open element is a border only. The text
-    of a broken last tag is markup.
+    of a broken last tag is markup. A self-closing tag has no content, of dropped elements too.
     """
     out: list[Block] = []
     open_tags: list[tuple[str, bool]] = []
+    inside: Counter = Counter()  # open elements by name, and by kind
+    lost: set[str] = set()  # dropped elements with no end tag in the rest of the page
     text: list[str] = []
-    linked = sections = links = boiler = 0
-    heading = main = False
+    linked = sections = boiler = 0
 
     def close() -> None:
         nonlocal linked
-        folded = " ".join(entities.unescape("".join(text)).split())
+        folded = " ".join("".join(text).split())
         if folded:
-            out.append(Block(folded, linked, boiler > 0, heading, sections, main))
+            out.append(Block(folded, linked, boiler > 0, inside["/heading"] > 0, sections, inside["/main"] > 0))
         text.clear()
         linked = 0
 
+    def leave(many: int) -> None:
+        nonlocal boiler
+        for t, bad in open_tags[len(open_tags) - many :]:
+            boiler -= bad
+            inside[t] -= 1
+            inside["/" + kind_of(t)] -= 1
+        del open_tags[len(open_tags) - many :]
+
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
         start = m.start() if m else n
         if start > at:
-            piece = html[at:start]
+            piece = entities.unescape(html[at:start])
             text.append(piece)
-            if links:
+            if inside["/a"]:
                 linked += len(" ".join(piece.split()))
         if not m:
             break
         at, token = m.end(), m[0]
         if token.startswith("<![CDATA["):
-            text.append(entities.escape(token[9:].removesuffix("]]>")))
+            text.append(token[9:].removesuffix("]]>"))
             continue
         if not (found := NAME.match(token)):
             continue
@@ -128,46 +151,40 @@ def blocks_of(html: str) -> list[Block]:
         if name in BLOCK_TAGS:
             close()
         if ends:
-            at_most = next((k for k in range(len(open_tags) - 1, -1, -1) if open_tags[k][0] == name), None)
-            if at_most is not None:
-                if any(t in BLOCK_TAGS for t, _ in open_tags[at_most:]):
+            if inside[name]:
+                many = next(k for k in range(1, len(open_tags) + 1) if open_tags[-k][0] == name)
+                if any(t in BLOCK_TAGS for t, _ in open_tags[-many:]):
                     close()
-                for t, b in open_tags[at_most:]:
-                    boiler -= b
-                    links -= t == "a"
-                del open_tags[at_most:]
-                heading = any(re.fullmatch("h[1-6]", t) for t, _ in open_tags)
-                main = any(t in MAIN_TAGS for t, _ in open_tags)
+                leave(many)
                 sections += name in BOILER_TAGS or name in MAIN_TAGS or name in ("div", "section")
             continue
-        if name in VOID:
+        if name in VOID or name in DROPPED and token.endswith("/>") and name not in ("script", "style", "textarea", "title"):
             continue
         if name in DROPPED:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = None if name in lost else END[name].search(html, at)
+            if end is None:
+                lost.add(name)
             at = end.end() if end else n if name in ("script", "style") else at
             continue
         if name == "p":
             # A paragraph ends the one before it.
-            while open_tags and open_tags[-1][0] in ("p", "b", "i", "em", "strong", "span", "a"):
-                t, b = open_tags.pop()
-                boiler -= b
-                links -= t == "a"
+            many = next((k for k in range(len(open_tags)) if open_tags[-1 - k][0] not in ("p", "b", "i", "em", "strong", "span", "a")), len(open_tags))
+            leave(many)
         bad = name in BOILER_TAGS or name not in ("html", "body", *MAIN_TAGS) and named_boiler(token)
         if not token.endswith("/>"):
             open_tags.append((name, bad))
             boiler += bad
-            links += name == "a"
-            heading = heading or bool(re.fullmatch("h[1-6]", name))
-            main = main or name in MAIN_TAGS
+            inside[name] += 1
+            inside["/" + kind_of(name)] += 1
             sections += name in BOILER_TAGS or name in MAIN_TAGS or name in ("div", "section")
     close()
     return out
 
 
-def first_pass(block: Block, has_main: bool) -> str:
+def first_pass(block: Block) -> str:
     """good, bad, near or short, from the block alone."""
     size = len(block.text)
-    if block.boiler or has_main and not block.main:
+    if block.boiler:
         return "bad"
     if block.linked > MAX_LINK_DENSITY * size:
         return "bad"
@@ -217,18 +234,20 @@ def second_pass(found: list[Block]) -> None:
 def main_text(html: str) -> str:
     """The page's text blocks in order, one to a line; empty if there are none."""
     found = blocks_of(html)
-    has_main = any(b.main and not b.boiler for b in found)
     for b in found:
-        b.label = first_pass(b, has_main)
+        b.label = first_pass(b)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == "good")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of each row of pages (columns page_id, url, html; null html: empty).
+    """(page_id, url, text) of each row of pages (columns page_id, url, html; any others are ignored).
 
-    Pages are read whole and independently: no exchange, repeated rows give repeated results.
+    Null html is empty, and its text too; a null page_id or url stays null. Pages are read whole
+    and independently, however long: no exchange, repeated rows give repeated results, an
+    empty table an empty one.
     """
+    bound_batches(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 import struct
 from collections import Counter, defaultdict
 
@@ -274,9 +276,79 @@ def test_html_of_table(spark, sf_dir):
             lines = [" ".join(x.split()) for x in doc.split("\n")]
             assert r["text"].split("\n")[1:] == [x for x in lines if x]
     null = spark.createDataFrame([(1, None, None, "z")], "page_id bigint, url string, html string, text string")
+    assert html_text.extract(null.limit(0)).count() == 0
     assert rows(html_text.extract(null)) == [{"page_id": 1, "url": None, "text": ""}]
 
 
+def brute_labels(blocks):
+    """The two passes in a plain form: features of a block alone, then the nearest decided block of each side."""
+    first = []
+    for b in blocks:
+        words = re.findall(r"[^\W\d_]+", b.text.lower())
+        density, size = sum(w in html_text.STOP_WORDS for w in words) / max(1, len(words)), len(b.text)
+        if b.boiler or b.linked > 0.4 * size:
+            first.append("bad")
+        elif size < 70:
+            first.append("short")
+        elif density >= 0.25 and size >= 200 or density >= 0.10 and (b.main or size >= 200):
+            first.append("good")
+        else:
+            first.append("near" if density >= 0.10 or b.main else "bad")
+    out = []
+    for i, b in enumerate(blocks):
+        if first[i] in ("good", "bad"):
+            out.append(first[i])
+            continue
+        sides = [next((k for k in span if first[k] in ("good", "bad")), None) for span in (range(i - 1, -1, -1), range(i + 1, len(blocks)))]
+        seen = [("bad", -1) if k is None else (first[k], blocks[k].section) for k in sides if not b.main or k is not None and blocks[k].main and not blocks[k].boiler]
+        labels = {label for label, _ in seen}
+        same = {label for label, section in seen if section == b.section}
+        if not seen:
+            out.append("good")
+        elif len(labels) == 1:
+            out.append(labels.pop())
+        elif b.heading and sides[1] is not None:
+            out.append(first[sides[1]])
+        elif len(same) == 1:
+            out.append(same.pop())
+        else:
+            out.append("good" if first[i] == "near" or b.main else "bad")
+    return out
+
+
+def test_html_passes_equal_plain_ones():
+    rng = random.Random(9)
+    for _ in range(400):
+        blocks = []
+        for _ in range(rng.randint(0, 12)):
+            text = " ".join(rng.choice(["the", "of", "and", "stone", "river", "walks"]) if rng.random() < 0.7 else "zyx" for _ in range(rng.choice([2, 8, 20, 60])))
+            blocks.append(html_text.Block(text, rng.choice([0, 0, len(text)]), rng.random() < 0.2, rng.random() < 0.1, rng.randint(0, 2), rng.random() < 0.3))
+        want = brute_labels(blocks)
+        for b in blocks:
+            b.label = html_text.first_pass(b)
+        html_text.second_pass(blocks)
+        assert [b.label for b in blocks] == want
+
+
+def test_html_without_declared_main_part():
+    prose = "It was on the day that she came to the house and all of them were there with the others. " * 3
+    links = "".join(f'<a href="/{k}">Topic number {k}</a> ' for k in range(20))
+    page = f"<body><div>{links}</div><div><h2>A line</h2><p>{prose}</p><p>Short one.</p><p>{prose}</p></div><div>{links}</div><div>Zyx qwv trk plm vbn krt wsx edc rfv tgb yhn ujm ikl opq wert zuio asdf</div></body>"
+    assert html_text.main_text(page).split("\n") == ["A line", prose.strip(), "Short one.", prose.strip()]
+    # Links inside a declared main part are boilerplate there too.
+    assert html_text.main_text(f"<article><p>{prose}</p><p>{links}</p></article>") == prose.strip()
+
+
+def test_html_broken_markup_is_read_in_linear_time():
+    prose = "The text of the page is here and it is told to all of us who read it."
+    for tag in ("<svg/>", "<math />", "<svg><path d='M0'/></svg>", "<p title='x>"):
+        assert prose in html_text.main_text(f"<article>{tag}<p>{prose}</p></article>"), tag
+    for hostile in ('<a "' * 200_000 + '"', "<div>" * 80_000 + "</p></b>" * 80_000, "<svg>" * 200_000, "<div><h1>" * 50_000 + "x</h1></div>" * 50_000, "<!--" * 200_000):
+        began = time.time()
+        html_text.main_text(hostile)
+        assert time.time() - began < 10
+
+
 # -- language model
 
 
