@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import bound_batches
+
 ORDERS = (2, 3)
 BITS = 16
 BUCKETS = 1 << BITS
@@ -41,33 +43,34 @@ def buckets_of(points: np.ndarray, order: int) -> np.ndarray:
 
 
 def blocks(texts: list[str]):
-    """(points, starts, rows): texts joined up to BLOCK_CHARS, longer ones cut with an overlap."""
-    parts, starts, rows, size = [], [], [], 0
+    """(points, starts, rows, tails): texts joined up to BLOCK_CHARS, longer ones cut with an overlap.
+
+    tails: how many places at the end of each piece are the next piece's first ones.
+    """
+    parts, starts, rows, tails, size = [], [], [], [], 0
     for i, text in enumerate(texts):
-        step = BLOCK_CHARS
-        for lo in range(0, max(len(text), 1), step):
-            piece = text[lo : lo + step + max(ORDERS) - 1].lower()
-            if not piece:
-                continue
-            points = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
+        text = text.lower()
+        for lo in range(0, len(text), BLOCK_CHARS):
+            points = np.frombuffer(text[lo : lo + BLOCK_CHARS + max(ORDERS) - 1].encode("utf-32-le"), np.uint32)
             if size and size + len(points) > BLOCK_CHARS:
-                yield np.concatenate(parts), np.array(starts), np.array(rows)
-                parts, starts, rows, size = [], [], [], 0
+                yield np.concatenate(parts), np.array(starts), np.array(rows), np.array(tails)
+                parts, starts, rows, tails, size = [], [], [], [], 0
             starts.append(size)
             rows.append(i)
             parts.append(points)
+            tails.append(max(0, len(points) - BLOCK_CHARS))
             size += len(points)
     if parts:
-        yield np.concatenate(parts), np.array(starts), np.array(rows)
+        yield np.concatenate(parts), np.array(starts), np.array(rows), np.array(tails)
 
 
-def spans(points: np.ndarray, starts: np.ndarray, order: int):
-    """Buckets of a block with those that cross a border between texts pointed at bucket -1."""
+def spans(points: np.ndarray, starts: np.ndarray, tails: np.ndarray, order: int):
+    """Buckets of a block; n-grams that cross a border, or are the next piece's, go to a bucket of their own."""
     h = buckets_of(points, order).astype(np.int64)
-    for k in range(1, order):
-        at = starts[1:] - k
-        at = at[(at >= 0) & (at < len(h))]
-        h[at] = BUCKETS
+    ends = np.append(starts[1:], len(points))
+    for k in range(1, max(ORDERS)):
+        at = ends[k <= np.maximum(tails, order - 1)] - k
+        h[at[(at >= 0) & (at < len(h))]] = BUCKETS
     return h
 
 
@@ -95,9 +98,9 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
                 by.setdefault(lang.as_py(), []).append(text.as_py())
             for lang, texts in by.items():
                 counts = found.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                for points, starts, _ in blocks(texts):
+                for points, starts, _, tails in blocks(texts):
                     for order in ORDERS:
-                        counts += np.bincount(spans(points, starts, order), minlength=BUCKETS + 1)
+                        counts += np.bincount(spans(points, starts, tails, order), minlength=BUCKETS + 1)
         for lang, counts in found.items():
             at = np.flatnonzero(counts[:-1])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
@@ -116,9 +119,9 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 def score_texts(texts: list[str], logs: np.ndarray) -> np.ndarray:
     """Log-likelihood of each text under each language."""
     out = np.zeros((len(texts), logs.shape[1]))
-    for points, starts, rows in blocks(texts):
+    for points, starts, rows, tails in blocks(texts):
         for order in ORDERS:
-            h = spans(points, starts, order)
+            h = spans(points, starts, tails, order)
             if len(h):
                 inside = starts < len(h)
                 sums = np.add.reduceat(logs[h], starts[inside], axis=0, dtype=np.float64)
@@ -132,8 +135,11 @@ def identify(docs: DataFrame, holds_out) -> DataFrame:
     holds_out is a boolean column: such rows, and rows without a language or a text, are not
     learned from. score is the posterior of the language under equal priors. A null text and
     one without a letter give und and 0, as does everything when there is nothing to learn
-    from. Texts are scored whole; rows are independent, so there is no exchange.
+    from. Texts are scored whole, however long; rows are independent, so there is no exchange.
+    Ties go to the language whose code comes first; equal rows give equal results, an empty
+    table an empty one; columns besides these three are ignored.
     """
+    bound_batches(docs.sparkSession)
     names, logs = train(learnable(docs, holds_out))
     shared = docs.sparkSession.sparkContext.broadcast((names, logs))
 

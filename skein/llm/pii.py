@@ -18,6 +18,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.common import bound_batches
+
 KINDS = ("email", "ip", "card", "phone", "account", "ssn", "url_user")
 BASE = KINDS[:4]
 
@@ -164,12 +166,25 @@ def iban_from(text: str, at: int) -> int | None:
     return best
 
 
-def after_cue(text: str, at: int) -> tuple[str, int, int] | None:
+def after_cue(text: str, at: int, met: dict) -> tuple[str, int, int] | None:
     """(kind, start, end) of an identifier that follows a cue word ending at at.
 
     Between them may be the rest of the cue's own word, label words and what is neither a
-    letter nor a digit. The next cue is no label, so no place is passed for two cues.
+    letter nor a digit. The next cue is no label, so what lies behind a word is passed once:
+    met keeps the end of the last word in which a cue was, and what has been found behind it.
     """
+    if text[at : at + 1] in CODE and (end := iban_from(text, at)):
+        return "account", at, end
+    if at > met.get("end", -1):
+        end, n = at, len(text)
+        while end < n and text[end] in LETTERS:
+            end += 1
+        met["end"], met["found"] = end, behind_word(text, end)
+    return met["found"]
+
+
+def behind_word(text: str, at: int) -> tuple[str, int, int] | None:
+    """after_cue() from the end of the cue's word on."""
     n, lo = len(text), at
     while lo < n and text[lo] not in DIGITS:
         if text[lo] not in LETTERS:
@@ -181,8 +196,7 @@ def after_cue(text: str, at: int) -> tuple[str, int, int] | None:
         while end < n and text[end] in LETTERS:
             end += 1
         word = text[lo:end].lower()
-        # What goes on the cue's own word, as a plural does, is passed as well.
-        if lo > at and not word.startswith(("no", "nu")) and word not in LABELS:
+        if not word.startswith(("no", "nu")) and word not in LABELS:
             return None
         lo = end
     if lo >= n:
@@ -216,6 +230,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
     """(kind, start, end) of everything found, by start, then kind as listed."""
     out: list[tuple[str, int, int]] = []
     done = {"email": 0, "ip": 0, "card": 0, "phone": 0}
+    met: dict = {}
     for last, (kind, size) in anchors.iter(text):
         at = last + 1 - size
         if kind == "email":
@@ -240,7 +255,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]
         elif kind == "url_user":
             if m := url_user_at(text, last + 1):
                 out.append(("url_user", *m))
-        elif m := after_cue(text, last + 1):
+        elif m := after_cue(text, last + 1, met):
             out.append(m)
     return sorted(set(out), key=lambda m: (m[1], KINDS.index(m[0]), m[2]))
 
@@ -252,8 +267,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, found) of each row of docs (columns doc_id, text; null text: empty).
 
     found is an array of (kind, start, end), places in code points, end exclusive, ordered by
-    start, then kind; empty where there is nothing. Rows are independent: no exchange.
+    start, then kind; empty where there is nothing. Rows are independent: no exchange, equal
+    rows give equal results, an empty table an empty one. Texts are read whole, however long,
+    in time that follows their length; a null doc_id stays null, other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         if not _ANCHORS:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import textblock
+from skein.llm.common import bound_batches
 
 PASSAGE_WORDS = 64
 PAIR_BUCKETS = 24
@@ -51,6 +52,26 @@ def _hash_words(items: list[str]) -> np.ndarray:
 _COMMON_HASHES = _hash_words(_COMMON)
 
 
+def byte_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, owner: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passages x classes, passages x pair buckets): bytes by class and hashed byte pairs.
+
+    A byte belongs to the passage of the last word that has begun, or of its text's first.
+    Bytes are worked on in runs, so a very long text needs no array over all of them.
+    """
+    kinds, pairs = np.zeros((int(first[-1]), N_CLASSES)), np.zeros((int(first[-1]), PAIR_BUCKETS))
+    for lo in range(0, len(data), textblock.BLOCK_BYTES):
+        place = np.arange(lo, min(lo + textblock.BLOCK_BYTES, len(data)))
+        text = np.searchsorted(offsets, place, "right") - 1
+        word = owner[np.maximum(np.searchsorted(starts, place, "right") - 1, 0)]
+        at = np.minimum(np.maximum(first[text], word), first[text + 1] - 1)
+        low, many = int(at.min()), int(at.max() - at.min()) + 1
+        kinds[low : low + many] += np.bincount((at - low) * N_CLASSES + _CLASS[data[place]], minlength=many * N_CLASSES).reshape(many, N_CLASSES)
+        place, at = place[place + 1 < len(data)], at[place + 1 < len(data)]
+        pair = ((data[place].astype(np.int64) * 31 + data[place + 1]) * 0x9E3779B1 >> 12) % PAIR_BUCKETS
+        pairs[low : low + many] += np.bincount((at - low) * PAIR_BUCKETS + pair, minlength=many * PAIR_BUCKETS).reshape(many, PAIR_BUCKETS)
+    return kinds, pairs
+
+
 def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(features, first): measured features of all passages, and each text's first passage.
 
@@ -68,15 +89,9 @@ def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         text = np.repeat(np.arange(len(n_words)), n_words)
         rank = np.arange(len(starts)) - first_word[text]
         owner = first[text] + rank // PASSAGE_WORDS
-        # A byte belongs to the passage of the last word that has begun, or of the text's first.
-        byte_text = np.repeat(np.arange(len(n_words)), np.diff(offsets))
-        byte_owner = np.maximum(first[byte_text], owner[np.maximum(np.searchsorted(starts, np.arange(len(data)), "right") - 1, 0)])
-        byte_owner = np.minimum(byte_owner, first[byte_text + 1] - 1)
-        size = np.maximum(np.bincount(byte_owner, minlength=total), 1)[:, None]
-        kinds = np.bincount(byte_owner * N_CLASSES + _CLASS[data], minlength=total * N_CLASSES).reshape(total, N_CLASSES)
+        kinds, pairs = byte_counts(data, offsets, starts, owner, first)
+        size = np.maximum(kinds.sum(axis=1), 1)[:, None]
         out[:, :N_CLASSES] = kinds / size
-        pair = ((data[:-1].astype(np.int64) * 31 + data[1:]) * 0x9E3779B1 >> 12) % PAIR_BUCKETS
-        pairs = np.bincount(byte_owner[:-1] * PAIR_BUCKETS + pair, minlength=total * PAIR_BUCKETS).reshape(total, PAIR_BUCKETS)
         out[:, N_CLASSES : N_CLASSES + PAIR_BUCKETS] = np.sqrt(pairs / size)
         at = N_CLASSES + PAIR_BUCKETS
         count = np.bincount(owner, minlength=total)
@@ -205,8 +220,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, holds_out: Column) -> Data
     holds_out is a boolean column over doc_id: such rows are not learned from. score is the
     probability of label 1, predicted is 1 from THRESHOLD on. Null and empty texts are bags
     of one passage of zeros. Without labelled rows every score is 0.5. Whole texts are read
-    and rows are independent: there is no exchange of documents.
+    and rows are independent: there is no exchange of documents. Equal texts have equal scores,
+    whatever their ids; an empty table gives an empty one; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     x, first, y = training_bags(docs, labels, holds_out)
     model = fit(x, first, y) if len(y) else None
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, components, exact_dedup, html_text, language_id, mixing, near_dup, ngram_lm, pii, quality_model, quality_rules
+from skein.llm import queries
 from skein.llm.queries import fold
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -225,6 +226,18 @@ def test_bpe_equals_library(messy, empty, spark, sf_dir):
     assert bpe.encode_and_decode(empty).count() == 0
 
 
+def test_bpe_query_derives_its_digests(spark, sf_dir):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = {r["doc_id"]: r["text"] or "" for r in rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+    for r in rows(queries.op2_bpe(spark, sf_dir)):
+        ids = ref.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_bpe_random_texts_and_forgetting(monkeypatch):
     import random
 
@@ -398,6 +411,31 @@ def test_quality_model(spark, messy, empty):
     assert {r["score"] for r in rows(quality_model.score_quality(messy, labels.limit(0), fold(5, 0)))} == {0.5}
 
 
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", "one", "The cat and the dog. " * 40, "buy now!!! " * 90, "é漢 #1 * x\ny " * 30]
+    rng = np.random.default_rng(2)
+    f, h, g = quality_model.N_FEATURES, 3, 2
+    p = {"W": rng.normal(size=(f, h)), "b": rng.normal(size=h), "V": rng.normal(size=(h, g)), "U": rng.normal(size=(h, g)), "w": rng.normal(size=g), "c": rng.normal(size=h), "d": rng.normal()}
+    model = quality_model.Model(np.zeros(f), np.ones(f), p)
+    x, first = quality_model.encode(pa.array(texts))
+    got = model.forward(x, first)
+    for i in range(len(texts)):
+        # Passages of one text are those of the text alone.
+        alone, _ = quality_model.encode(pa.array([texts[i]]))
+        assert np.allclose(alone[:, : quality_model.N_CLASSES], x[first[i] : first[i + 1], : quality_model.N_CLASSES])
+        codes = [[math.tanh(sum(v * p["W"][k, j] for k, v in enumerate(row)) + p["b"][j]) for j in range(h)] for row in x[first[i] : first[i + 1]]]
+        gate = lambda c, j: math.tanh(sum(c[k] * p["V"][k, j] for k in range(h))) / (1 + math.exp(-sum(c[k] * p["U"][k, j] for k in range(h))))
+        raw = [math.exp(sum(gate(c, j) * p["w"][j] for j in range(g))) for c in codes]
+        z = [sum(a * c[j] for a, c in zip(raw, codes)) / sum(raw) for j in range(h)]
+        assert model.score(x, first)[i] == pytest.approx(1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"])) + p["d"]))))
+    assert got
+
+
 def test_attention_sums_to_one_and_learns():
     import numpy as np
 
@@ -435,6 +473,33 @@ def test_language_scores_equal_per_text(monkeypatch):
     assert np.allclose(language_id.score_texts(texts, logs), whole, atol=1e-3)
 
 
+def test_language_of_texts_longer_than_a_block(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    logs = rng.standard_normal((language_id.BUCKETS + 1, 2)).astype(np.float32)
+    logs[-1] = 0
+    texts = ["", "ab", *("".join(rng.choice(list("abcdeé ")) for _ in range(n)) for n in (9, 10, 11, 12, 13, 25, 50, 99))]
+    plain = lambda t, o: logs[language_id.buckets_of(np.frombuffer(t.lower().encode("utf-32-le"), np.uint32), o)].sum(axis=0)
+    want = np.array([sum((plain(t, o) for o in language_id.ORDERS), np.zeros(2)) for t in texts])
+    monkeypatch.setattr(language_id, "BLOCK_CHARS", 10)
+    assert np.allclose(language_id.score_texts(texts, logs), want, atol=1e-3)
+
+
+def test_language_of_a_small_table_equals_plain_bayes(spark):
+    import math
+
+    docs = [(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the end", "en"), ("und das ende", "de"), ("the dog", "en")] * 3)]
+    got = {r["doc_id"]: r for r in rows(language_id.identify(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), fold(4, 2)))}
+    grams = lambda t: [(o, t[i : i + o]) for o in language_id.ORDERS for i in range(len(t) - o + 1)]
+    counts = {lang: Counter(g for k, t, x in docs if x == lang and not got[k]["held_out"] for g in grams(t)) for lang in ("de", "en")}
+    mass = {lang: language_id.SMOOTHING * language_id.BUCKETS + sum(c.values()) for lang, c in counts.items()}
+    for k, t, _ in docs:
+        logs = {lang: sum(math.log((counts[lang][g] + language_id.SMOOTHING) / mass[lang]) for g in grams(t)) for lang in counts}
+        best = max(sorted(logs), key=logs.get)
+        assert got[k]["lang_pred"] == best and got[k]["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=1e-4)
+
+
 # -- personal data
 
 PATTERNS = {
@@ -498,6 +563,26 @@ def test_pii_table(spark, messy, empty, sf_dir):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_pii_query_derives_its_columns(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] or "" for r in rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+    for r in rows(queries.op10_pii(spark, sf_dir)):
+        want = brute_pii(docs[r["doc_id"]])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(m[0] == k for m in want) for k in pii.BASE]
+        assert set(line.split(",")) <= set(r["spans"].split(","))
+
+
+def test_pii_hostile_texts_take_linear_time():
+    anchors = pii.automaton()
+    for text in ("IBAN" * 50_000, "account " * 20_000, "IBAN" * 20_000 + " " * 200_000 + "12345678", "+1" * 100_000, "x@" * 100_000, "http://a" * 50_000, "1 " * 100_000, "account " + "no " * 100_000):
+        began = time.time()
+        pii.find(text, anchors)
+        assert time.time() - began < 10
+    long_user = "a" * 300
+    assert ("url_user", 7, 7 + 300 + 5) in pii.find(f"http://{long_user}@b.cd", anchors)
+
+
 # -- input columns named like those of the operators
 
 
