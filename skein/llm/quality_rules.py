@@ -37,6 +37,7 @@ WORD_REFERENCES = {
     "fr": {"de": 0.045, "la": 0.028, "le": 0.022, "et": 0.020, "les": 0.018, "des": 0.016, "en": 0.013, "un": 0.011, "du": 0.011, "une": 0.010},
     "es": {"de": 0.055, "la": 0.038, "que": 0.028, "el": 0.027, "en": 0.025, "y": 0.024, "los": 0.016, "se": 0.012, "del": 0.011, "las": 0.011},
 }
+VOCABULARY = sorted({w for ref in WORD_REFERENCES.values() for w in ref})
 MAX_CLASS_DIVERGENCE = 0.045
 MIN_CLASS_CHARS = 200
 MAX_WORD_DIVERGENCE = 0.08
@@ -59,6 +60,11 @@ def count_kind(group: str) -> Column:
     return F.length("kinds") - F.length(F.replace(F.col("kinds"), F.lit(group[0]), F.lit("")))
 
 
+def common_words(words: Column) -> Column:
+    """The words that, in lower case and without marks around them, the references hold, in order."""
+    return F.filter(F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(MARKS)))), lambda w: w.isin(*VOCABULARY))
+
+
 def window_hashes(words: Column, window: int = WINDOW) -> Column:
     """64-bit hashes of the windows of 8 words, in order; empty for shorter texts."""
     each = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, window)))
@@ -140,15 +146,14 @@ def scored(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("win")) < F.size("win"), repeated_starts(F.col("win"))).otherwise(F.array().cast("array<int>")).alias("at"),
         *[c.cast("bigint").alias(f"c_{k}") for k, c in class_shares(F.col("text")).items()],
-        F.concat(F.lit(" "), F.concat_ws("  ", F.transform("words", lambda w: F.lower(F.btrim(w, F.lit(MARKS))))), F.lit(" ")).alias("spaced"),
+        F.concat(F.lit(" "), F.concat_ws("  ", common_words(F.col("words"))), F.lit(" ")).alias("spaced"),
     )
     rows = rows.withColumn("n_repeat_words", union_length(F.col("at")))
     chars = F.greatest(F.length("text").cast("double"), F.lit(1.0))
     shares = [F.col(f"c_{k}") / chars for k in CLASSES[:-1]]
     shares.append(F.greatest(F.lit(1.0) - sum(shares[1:], shares[0]), F.lit(0.0)))
-    vocab = sorted({w for ref in WORD_REFERENCES.values() for w in ref})
     n = F.greatest(F.col("n_words").cast("double"), F.lit(1.0))
-    rows = rows.withColumns({f"s_{i}": s for i, s in enumerate(shares)} | {f"w_{w}": (F.length("spaced") - F.length(F.replace("spaced", F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w) + 2)) / n for w in vocab})
+    rows = rows.withColumns({f"s_{i}": s for i, s in enumerate(shares)} | {f"w_{w}": (F.length("spaced") - F.length(F.replace("spaced", F.lit(f" {w} "), F.lit("")))) / F.lit(float(len(w) + 2)) / n for w in VOCABULARY})
     class_div = F.least(*[divergence([F.col(f"s_{i}") for i in range(len(CLASSES))], list(ref)) for ref in CLASS_REFERENCES.values()])
 
     def word_div(ref: dict[str, float]) -> Column:
