@@ -68,6 +68,30 @@ def blocks(dw: DataFrame, docmap: DataFrame, wordmap: DataFrame) -> DataFrame:
     return left.join(wordmap.select("v", F.col("p").alias("w_part"), F.col("local").alias("w_local")), "v").select("d_part", "w_part", "d_local", "w_local", "f")
 
 
+def column_words(tokens: DataFrame, columns: int, column: int) -> DataFrame:
+    """The tokens of one of so many vocabulary columns: words by their id modulo columns."""
+    return tokens.filter(F.pmod("v", F.lit(columns)) == column)
+
+
+def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with y by labels (d, y); -1 for a document that has none."""
+    return docs.join(labels.select("d", F.col("y").cast("int").alias("y")), "d", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
+
+
+def index_blocks(grid: DataFrame) -> DataFrame:
+    """(d_part, w_part, w_local, docs) of blocks(): a word's ascending documents in one document part, repeated by occurrence."""
+    lists = F.flatten(F.transform("c", lambda x: F.array_repeat(x["d_local"], x["f"].cast("int"))))
+    held = F.sort_array(F.collect_list(F.struct("d_local", "f"))).alias("c")
+    return grid.groupBy("d_part", "w_part", "w_local").agg(held).select("d_part", "w_part", "w_local", lists.alias("docs"))
+
+
+def from_blocks(index: DataFrame, docmap: DataFrame, wordmap: DataFrame) -> DataFrame:
+    """(d, v, f) of index_blocks(), by the maps that made them."""
+    cells = index.select("d_part", "w_part", "w_local", F.explode("docs").alias("d_local")).groupBy("d_part", "w_part", "w_local", "d_local").agg(F.count(F.lit(1)).alias("f"))
+    cells = cells.join(docmap.select("d", F.col("p").alias("d_part"), F.col("local").alias("d_local")), ["d_part", "d_local"])
+    return cells.join(wordmap.select("v", F.col("p").alias("w_part"), F.col("local").alias("w_local")), ["w_part", "w_local"]).select("d", "v", "f")
+
+
 def epoch_ranges(spark: SparkSession, loads: DataFrame, parts: int) -> DataFrame:
     """(ep, load, part): contiguous parts of the epochs with the least greatest load; one row per epoch on the driver."""
     table = loads.orderBy("ep").toArrow()

@@ -36,6 +36,14 @@ def top_words(cells: DataFrame, group: list[str], value: str, k: int) -> DataFra
     return cut.withColumn("rank", final).filter(F.col("rank") <= k).drop("_salt", "_r")
 
 
+def topic_words(top: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """top (.., v, rank) with w, the word of each id by vocabulary (v, w); an id without one is its own word.
+
+    top has K times the number of ranks rows and is the smaller side.
+    """
+    return top.join(vocabulary.select("v", "w"), "v", "left").withColumn("w", F.coalesce("w", F.col("v").cast("string")))
+
+
 def heldout_perplexity(tokens: DataFrame, phi: DataFrame, theta: DataFrame) -> DataFrame:
     """One row (tokens, perplexity): tokens (ep, d, v, f), phi (ep, v, phi array), theta (d, theta array)."""
     p = F.aggregate(F.zip_with("phi", "theta", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

@@ -19,6 +19,10 @@ from skein.operators import lda, metrics
 from skein.sources.state import written
 
 
+#: Topics whose precision matrix (K^4 doubles, 20 MB at 40) the driver may hold.
+MAX_TOPICS = 40
+
+
 def edge_constants(links: DataFrame, c_pos: float, c_neg: float) -> DataFrame:
     """links with kappa: c_pos / 2 on positive links, -c_neg / 2 on the others."""
     return links.withColumn("kappa", F.when(F.col("y") == 1, F.lit(c_pos / 2)).otherwise(F.lit(-c_neg / 2)))
@@ -142,7 +146,12 @@ class RtmModel:
 
 
 def fit(dw: DataFrame, links: DataFrame, k: int, alpha: float | None = None, beta: float = 0.01, mu: float = 0.1, c_pos: int = 10, c_neg: int = 1, iterations: int = 10, seed: int = 1) -> RtmModel:
-    """Train on dw (d, v, f) and links (src, dst, y, split 'train' / 'test')."""
+    """Train on dw (d, v, f) and links (src, dst, y, split 'train' / 'test').
+
+    The precision of U has K^4 numbers and is solved on the driver: K above MAX_TOPICS is refused.
+    """
+    if k > MAX_TOPICS:
+        raise ValueError(f"{k} topics: the precision of U would have {k**4} numbers; at most {MAX_TOPICS} topics")
     alpha = 50.0 / k if alpha is None else alpha
     links = written(edge_constants(links, c_pos, c_neg).withColumn("lam", F.lit(1.0)), "links")
     n = written(lda.init_topics(dw.filter("f > 0"), k, seed), "n")

@@ -50,6 +50,22 @@ def write_maps(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("p").option("sep", " ").csv(path)
 
 
+def read_maps(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, p, local) of write_maps()."""
+    rows = spark.read.schema(f"{key} bigint, local bigint, p bigint").option("sep", " ").csv(path)
+    return rows.select(key, "p", "local")
+
+
+def write_blocks(index: DataFrame, path: str) -> None:
+    """Write (d_part, w_part, w_local, docs) as Parquet by part, so that a block is a folder of its own."""
+    index.write.partitionBy("d_part", "w_part").parquet(path)
+
+
+def read_block_table(spark: SparkSession, path: str) -> DataFrame:
+    """(d_part, w_part, w_local, docs) of write_blocks()."""
+    return spark.read.schema("w_local bigint, docs array<bigint>, d_part bigint, w_part bigint").parquet(path)
+
+
 def read_links(spark: SparkSession, path: str, y: int, split: str) -> DataFrame:
     """(src, dst, y, split) of 'src n dst1 .. dstn' lines; n is checked against the line."""
     p = F.split(F.btrim("value"), " +")

@@ -17,4 +17,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables that written() made and no later step reads."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_skein_path", None)):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
