@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import kernels
-from skein.operators.ranks import row_numbers
+from skein.operators.ranks import numbers_within, row_numbers
+from skein.sources.state import written
+
+
+#: Words, 16 bytes each, that the driver may deal over partitions.
+MAX_WORDS = 20_000_000
 
 
 def render_lines(dw: DataFrame) -> DataFrame:
@@ -37,16 +42,20 @@ def term_frequency(dw: DataFrame) -> DataFrame:
 def document_map(docs: DataFrame, parts: int) -> DataFrame:
     """(d, p, local): partition of each document by id, and its dense number there."""
     p = F.pmod(F.col("d") * 2654435761, F.lit(parts)).cast("bigint")
-    return docs.select("d", p.alias("p")).withColumn("local", F.row_number().over(Window.partitionBy("p").orderBy("d")).cast("bigint") - 1)
+    placed = numbers_within(docs.select("d", p.alias("p")), "p", "d", "n")
+    return placed.select("d", "p", (F.col("n") - 1).alias("local"))
 
 
 def word_map(tf: DataFrame, parts: int) -> DataFrame:
     """(v, p, local): words dealt, heaviest first, to the lightest partition, and numbered there.
 
     The greedy order is inherently serial and covers the vocabulary, not the corpus: it runs
-    on the driver over (v, tf).
+    on the driver over (v, tf), and refuses more than MAX_WORDS words.
     """
     spark = tf.sparkSession
+    tf = written(tf, "tf")
+    if tf.count() > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words; cut the vocabulary first")
     table = tf.orderBy(F.desc("tf"), F.desc("v")).toArrow()
     bins = kernels.lightest_bins(table.column("tf").to_numpy(), parts)
     import pyarrow as pa
@@ -103,9 +112,10 @@ def epoch_ranges(spark: SparkSession, loads: DataFrame, parts: int) -> DataFrame
 
 def train_test(docs: DataFrame, share: float = 0.8) -> DataFrame:
     """docs with split 'tr' for the first floor(share n) documents of each epoch, else 'te'."""
-    rank = F.row_number().over(Window.partitionBy("ep").orderBy("d"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("ep"))
-    return docs.withColumn("split", F.when(rank <= F.floor(n * F.lit(share)), "tr").otherwise("te"))
+    placed = numbers_within(docs, "ep", "d", "_place")
+    sizes = docs.groupBy("ep").agg(F.count(F.lit(1)).alias("_n"))
+    first = F.col("_place") <= F.floor(F.col("_n") * F.lit(share))
+    return placed.join(sizes, "ep").withColumn("split", F.when(first, "tr").otherwise("te")).select(*docs.columns, "split")
 
 
 def held_out(tokens: DataFrame) -> DataFrame:

@@ -25,6 +25,17 @@ def running_sum(df: DataFrame, order: list[str], value: Column, out: str) -> Dat
     return cut.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn(out, F.col("_i") + F.col("_b")).drop("_p", "_v", "_i", "_b")
 
 
+def numbers_within(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
+    """df with out: the place, from 1, of each row in its group (a number) by order, which tells rows apart.
+
+    Places are running totals over ranges of (group, order), less the rows of the groups before:
+    no task holds a group. The table of groups is one row each.
+    """
+    placed = row_numbers(df, [group, order], out)
+    sizes = placed.groupBy(group).agg(F.min(out).alias("_first"))
+    return placed.join(sizes, group).withColumn(out, F.col(out) - F.col("_first") + 1).drop("_first")
+
+
 def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """df with out: the place of each row in the order, from 1."""
     return running_sum(df, order, F.lit(1).cast("bigint"), out)

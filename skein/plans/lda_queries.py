@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import arrays
 from skein.operators import counts, etl, lda, metrics, ranks
 from skein.sources import tables
+from skein.sources.state import written
 
 K, ALPHA, BETA = 8, 0.5, 0.01
 PARTS = 4
@@ -31,12 +32,12 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lda_perplexity_init(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of the corpus under a fixed pseudo-random topic assignment."""
-    return counts.perplexity(counts.assign(text_corpus(spark, sf_dir), K), K, ALPHA, BETA)
+    return counts.perplexity(counts.assign(written(text_corpus(spark, sf_dir), "dw"), K), K, ALPHA, BETA)
 
 
 def lda_perplexity_orders(spark, sf_dir):
     """The same over the order corpus."""
-    return counts.perplexity(assigned(spark, sf_dir), K, ALPHA, BETA)
+    return counts.perplexity(counts.assign(written(orders_corpus(spark, sf_dir), "dw"), K), K, ALPHA, BETA)
 
 
 def tokens(spark, sf_dir):
@@ -107,7 +108,8 @@ def inverted_index(spark, sf_dir):
 
 
 def block_sizes(spark, sf_dir):
-    grid = etl.blocks(orders_corpus(spark, sf_dir), docmap(spark, sf_dir), wordmap_lpt(spark, sf_dir))
+    dw = written(orders_corpus(spark, sf_dir), "dw")
+    grid = etl.blocks(dw, etl.document_map(dw.select("d").distinct(), PARTS), etl.word_map(etl.term_frequency(dw), PARTS))
     return grid.groupBy("d_part", "w_part").agg(F.count(F.lit(1)).alias("pairs"), F.sum("f").alias("tokens"))
 
 

@@ -10,6 +10,7 @@ from skein.functions import arrays
 from skein.operators import dtm, etl, lda, linear, medlda, metrics, rtm
 from skein.plans.lda_queries import ALPHA, K, orders_corpus
 from skein.sources import tables
+from skein.sources.state import written
 
 #: A fixed K x K matrix for the bilinear form: 0.1 i - 0.07 j.
 U = [[round(0.1 * i - 0.07 * j, 6) for j in range(K)] for i in range(K)]
@@ -261,7 +262,12 @@ def month_names(spark, sf_dir):
 
 def phi_cells(spark, sf_dir):
     """(ep, k, v, phi, c): log(1 + f) / (k + 1) over 2 topics of the order lines by year."""
-    f = time_corpus(spark, sf_dir).groupBy("ep", "v").agg(F.sum("f").alias("c"))
+    return cells_of(time_corpus(spark, sf_dir))
+
+
+def cells_of(toks):
+    """phi_cells() of tokens (ep, d, v, f)."""
+    f = toks.groupBy("ep", "v").agg(F.sum("f").alias("c"))
     return f.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select("ep", "k", "v", (F.log1p(F.col("c").cast("double")) / (F.col("k") + 1)).alias("phi"), F.col("c").alias("c"))
 
 
@@ -275,7 +281,7 @@ def phi_chain_prior(spark, sf_dir):
 
 
 def _drift(spark, sf_dir):
-    cells = phi_cells(spark, sf_dir)
+    cells = written(phi_cells(spark, sf_dir), "cells")
     ck = cells.groupBy("ep", "k").agg(F.sum("c").alias("ck"))
     rows = cells.join(dtm.log_normalisers(cells), ["ep", "k"]).join(ck, ["ep", "k"])
     order = Window.partitionBy("k", "v").orderBy("ep")
@@ -314,9 +320,10 @@ def alpha_posterior_mean_var(spark, sf_dir):
 
 
 def heldout_perplexity(spark, sf_dir):
-    cells = phi_cells(spark, sf_dir).join(dtm.log_normalisers(phi_cells(spark, sf_dir)), ["ep", "k"])
+    toks = written(time_corpus(spark, sf_dir), "tokens")
+    cells = written(cells_of(toks), "cells")
+    cells = cells.join(dtm.log_normalisers(cells), ["ep", "k"])
     phi = cells.groupBy("ep", "v").agg(F.array(*[F.sum(F.when(F.col("k") == k, F.exp(F.col("phi") - F.col("logz")))) for k in (0, 1)]).alias("phi"))
-    toks = time_corpus(spark, sf_dir)
     share = (F.col("d") % 9 + 1) / F.lit(10.0)
     theta = toks.select("d").distinct().select("d", F.array(share, 1 - share).alias("theta"))
     return metrics.heldout_perplexity(toks, phi, theta)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.sources.state import written
+
 WORD_BREAK = "[^a-z0-9]+"
 
 
@@ -54,6 +56,7 @@ def doc_words(toks: DataFrame) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(dw(d, v, f), vocab(v, w)) of the documents table."""
-    toks = tokens(table(spark, sf_dir, "documents"))
-    words = vocab(toks)
-    return doc_words(toks).join(words, "w").select("d", "v", "f"), words
+    # Texts are cut into words once: the vocabulary is that of the counts.
+    pairs = written(doc_words(tokens(table(spark, sf_dir, "documents"))), "pairs")
+    words = vocab(pairs)
+    return pairs.join(words, "w").select("d", "v", "f"), words
