@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.sources.state import written
 
+SMALL_BYTES = 128 << 20
 WORD_BREAK = "[^a-z0-9]+"
 
 
@@ -20,10 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt over all cores where the input is small; large inputs have splits enough as they are.
+
+    A file's row groups are its tasks, however many cores wait: cutting a few megabytes of text
+    into words in one task takes longer than sending them. Beyond SMALL_BYTES nothing is sent.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else docs
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """Words of each document, lower-cased, with their position from 0."""
     words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w != "")
-    return docs.select(F.col("doc_id").alias("d"), F.posexplode(words).alias("pos", "w"))
+    return spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("d"), F.posexplode(words).alias("pos", "w"))
 
 
 def vocab(toks: DataFrame) -> DataFrame:
